@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, token_counts
+from corpusloom.llm import bpe, language_id, media, token_counts
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
+    "op7_media": media.op7_media,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 

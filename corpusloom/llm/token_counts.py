@@ -50,9 +50,9 @@ def context_limits(histogram: DataFrame) -> DataFrame:
 
 def totals_at(limits: DataFrame, contexts: list[int]) -> DataFrame:
     """(context, docs_over, truncated_tokens) for any list of context limits, also ones that no document's length equals."""
-    wanted = limits.sparkSession.createDataFrame([(int(c),) for c in contexts], "context long")
-    # sums over the histogram's rows; as many partial rows as contexts and tasks
-    return wanted.crossJoin(limits.select("length", "n_docs", "tokens")).groupBy("context").agg(
+    # as many partial rows as contexts and tasks
+    rows = limits.select("length", "n_docs", F.explode(F.array(*(F.lit(int(c)) for c in contexts)).cast("array<long>")).alias("context"))
+    return rows.groupBy("context").agg(
         F.sum(F.when(F.col("length") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
         F.sum(F.col("n_docs") * F.least("length", "context")).alias("truncated_tokens"),
     )
