@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language_id, media, token_counts
+from corpusloom.llm import bpe, language_id, media, quality, token_counts
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op7_media": media.op7_media,
+    "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_quality": quality.ORACLE_SQL,
+}
