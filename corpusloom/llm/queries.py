@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language_id, media, quality, token_counts
+from corpusloom.llm import bpe, language_id, media, ngram_join, quality, token_counts
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -10,8 +10,10 @@ QUERIES = {
     "op7_media": media.op7_media,
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 ORACLE: dict[str, str] = {
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
     "op8_quality": quality.ORACLE_SQL,
 }
