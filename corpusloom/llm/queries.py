@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, language_id, media, ngram_join, quality, token_counts
+from corpusloom.llm import bpe, chat, language_id, media, mixing, ngram_join, quality, token_counts
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_chat": chat.op6_chat,
     "op7_media": media.op7_media,
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
     "op8_quality": quality.ORACLE_SQL,
 }
