@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, language_id, media, mixing, ngram_join, quality, token_counts
+from corpusloom.llm import bpe, chat, language_id, line_dedup, media, mixing, ngram_join, quality, token_counts
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op4_mixing": mixing.op4_mixing,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat": chat.op6_chat,
     "op7_media": media.op7_media,
     "op8_quality": quality.op8_quality,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
     "op8_quality": quality.ORACLE_SQL,
 }
