@@ -1,18 +1,47 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, encoding."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing to target weights, byte-level BPE.
+
+Each stage works on all that the stage before has kept. The first four return the columns of documents; the last one
+gives a row a document that is left: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe
+from corpusloom.llm import bpe, line_dedup, mixing, ngram_join, quality
 from corpusloom.llm.common import stored, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive quality rules reject go."""
+    return quality.quality_filter(docs)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go, and documents of which nothing is left; n_chars follows the text."""
+    out = line_dedup.without_repeats(docs)
+    if "n_chars" not in out.columns:
+        return out
+    return out.selectExpr(*(f"CAST(length(text) AS {kind}) AS n_chars" if c == "n_chars" else f"`{c}`" for c, kind in out.dtypes))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five words, similarity 0.8."""
+    return ngram_join.one_of_each(docs, k=5, percent=80)
+
+
+def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled by the calibrated probabilities of their source, language and form."""
+    return mixing.sample(docs)
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, *bpe.default_vocabulary())
 
 
-STAGES = [("encoding", encoding)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", repeated_lines), ("ngram_join", near_duplicates), ("mixing", target_weights), ("bpe", encoding)]
+
+#: Byte-level BPE has no SQL form; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 

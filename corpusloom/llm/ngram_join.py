@@ -208,6 +208,18 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     return rows.select(F.col("doc").alias(id_col), "n_shingles", component.cast("long").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose id is the least of its component. Of rows that share an id one stays; rows with a null id all stay."""
+    found = stored(ngram_components(df, k, percent, id_col, text_col), "components")
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_id")).distinct()
+    out = df.join(stay, F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+    if not found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        # the least text of an id, so that each run keeps the same row
+        own = Window.partitionBy(id_col).orderBy(text_col, *(c for c in df.columns if c not in (id_col, text_col)))
+        out = out.withColumn("_place", F.row_number().over(own)).where("_place = 1").drop("_place")
+    return out.unionByName(df.where(F.col(id_col).isNull()))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 

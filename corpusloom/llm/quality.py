@@ -19,6 +19,8 @@ PRECISION = 6
 FENCES = (("chars_per_100_words", 4, 250), ("symbols_per_1000_chars", 4, 200), ("dup_lines_per_1000", 4, 500))
 #: Groups with fewer documents take the thresholds of their language, and those of all documents if that is small too.
 LEAST_DOCS = 100
+#: Groups up to which their thresholds (a few numbers each) are sent to all tasks.
+SMALL_GROUPS = 50_000
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -128,8 +130,9 @@ def judged(facts: DataFrame, limits: DataFrame) -> DataFrame:
     """facts with kept: false if base_failed or outside a fence of its language and source; true where its group has no fences."""
     values = facts.select("*", *(bucket(v).alias(f"b_{name}") for name, v in metrics().items()))
     t = limits.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
-    # a row a group: the small side; Spark broadcasts it only below its own size limit, and may split a hot group otherwise
-    joined = values.join(t, values["lang"].eqNullSafe(t["t_lang"]) & values["source"].eqNullSafe(t["t_source"]), "left")
+    # a row a group of language and source; broadcast only while they are few, else Spark may split a hot group
+    small = t.limit(SMALL_GROUPS + 1).count() <= SMALL_GROUPS
+    joined = values.join(F.broadcast(t) if small else t, values["lang"].eqNullSafe(t["t_lang"]) & values["source"].eqNullSafe(t["t_source"]), "left")
     inside = F.lit(True)
     for name, _, _ in FENCES:
         inside &= F.coalesce(F.col(f"b_{name}").between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
@@ -145,10 +148,19 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     # texts are read once; what is judged after the sketches are complete is a small row a document
     facts = stored(measured(own, ["id", "lang", "source"]), "quality")
-    out = judged(facts, thresholds(facts))
+    out = judged(facts, stored(thresholds(facts), "limits"))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_filter(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of df that quality_rules() keeps, with all their columns. Texts are measured once and written beside their facts."""
+    names = {c: f"kept_{c}" for c in df.columns}
+    own = df.select(*(F.col(c).alias(n) for c, n in names.items()), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    facts = stored(measured(own, [*names.values(), "lang", "source"]), "quality")
+    limits = stored(thresholds(facts.drop(*names.values())), "limits")
+    return judged(facts, limits).where("kept").select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 

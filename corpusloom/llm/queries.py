@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, chat, language_id, line_dedup, media, mixing, ngram_join, quality, token_counts
+from corpusloom.llm import bpe, chat, language_id, line_dedup, media, mixing, ngram_join, quality, substring, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_language_id": language_id.op2_language_id,
     "op3_bpe": bpe.op3_bpe,
     "op4_mixing": mixing.op4_mixing,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
