@@ -1,6 +1,383 @@
-"""The registered queries of the library, and the SQL that gives the same rows."""
+"""The registered queries of the library, each over its whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import hashing as H
+from corpusloom.functions import text as X
+from corpusloom.operators import conversations as C
+from corpusloom.operators import dedup as D
+from corpusloom.operators import gates as G
+from corpusloom.operators import metrics as M
+from corpusloom.operators import sampling as S
+from corpusloom.operators import splitting as P
+from corpusloom.operators import tokens as T
+from corpusloom.plans import pipelines
+from corpusloom.schema import documents, json_line, rekeyed, table, violations
+from corpusloom.sources import readers, writers
+from corpusloom.storage import stored
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: Canonical documents in SQL.
+DOCS = "docs AS MATERIALIZED (SELECT 'doc-' || sha256(source || chr(0) || doc_id::VARCHAR) AS document_id, source AS source_id, doc_id::VARCHAR AS source_record_id, text, lang AS language, ['general','encyclopedia','science','math','code'][doc_id % 5 + 1] AS content_type, doc_id AS input_index FROM documents)"
+_SPACE = r"[\t-\r \x1c-\x1f\x{85}\p{Z}]"
+_NO_LF = r"[\t\x0b-\r \x1c-\x1f\x{85}\p{Z}]"
+#: A projection with white space to clean: the tables have none.
+_DIRTY_SQL = r"'  ' || replace(replace(text, chr(10), '  ' || chr(13) || chr(10)), '. ', '. ' || chr(10) || chr(10) || chr(10) || chr(10)) || chr(9)"
+
+
+def dirtied(docs: DataFrame) -> DataFrame:
+    text = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("  \r\n")), F.lit(". "), F.lit(". \n\n\n\n"))
+    return docs.withColumn("text", F.concat(F.lit("  "), text, F.lit("\t")))
+
+
+_CLEAN = rf"""{DOCS}, c0 AS (SELECT * EXCLUDE (text), {_DIRTY_SQL} AS t0 FROM docs),
+c1 AS (SELECT *, nfc_normalize(t0) AS t1 FROM c0), c2 AS (SELECT *, regexp_replace(t1, '\r\n?', chr(10), 'g') AS t2 FROM c1),
+c3 AS (SELECT *, regexp_replace(regexp_replace(t2, '{_NO_LF}+\n', chr(10), 'g'), '{_NO_LF}+$', '') AS t3 FROM c2),
+c4 AS (SELECT *, regexp_replace(t3, '\n{{3,}}', chr(10) || chr(10), 'g') AS t4 FROM c3),
+clean AS MATERIALIZED (SELECT *, regexp_replace(regexp_replace(t4, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS text FROM c4)"""
+_CHANGES = "list_filter([CASE WHEN t1 <> t0 THEN 'unicode_nfc' END, CASE WHEN t2 <> t1 THEN 'line_endings' END, CASE WHEN t3 <> t2 THEN 'trailing_whitespace' END, CASE WHEN t4 <> t3 THEN 'excess_blank_lines' END, CASE WHEN text <> t4 THEN 'outer_whitespace' END], lambda x: x IS NOT NULL)"
+#: Repetition: long lines and their repeats; runs of one character by islands of equal neighbours.
+_WARN = rf"""pl AS (SELECT document_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^{_SPACE}+', ''), '{_SPACE}+$', '')), lambda l: length(l) >= 20)) AS l FROM docs),
+pr AS (SELECT document_id, CASE WHEN sum(n) < 5 THEN 0.0 ELSE 1 - sum(length(l)) / sum(length(l) * n) END AS ratio FROM (SELECT document_id, l, count(*) AS n FROM pl GROUP BY ALL) GROUP BY document_id),
+ch AS (SELECT document_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM docs),
+runs AS (SELECT DISTINCT document_id FROM (SELECT document_id, c, i - row_number() OVER (PARTITION BY document_id, c ORDER BY i) AS g FROM ch) GROUP BY document_id, c, g HAVING count(*) >= 20),
+warned AS MATERIALIZED (SELECT docs.*, coalesce(ratio, 0.0) AS ratio, list_filter([CASE WHEN length(text) < 200 THEN 'too_short' END, CASE WHEN length(text) > 50000 THEN 'too_long' END, CASE WHEN contains(text, chr(65533)) THEN 'decode_replacement' END, CASE WHEN runs.document_id IS NOT NULL OR coalesce(ratio, 0.0) >= 0.2 THEN 'high_repetition' END, CASE WHEN language = 'zh' THEN 'low_language_confidence' END], lambda x: x IS NOT NULL) AS warnings FROM docs LEFT JOIN pr USING (document_id) LEFT JOIN runs USING (document_id))"""
+
+
+# --- identities, contracts, buckets -------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT document_id, source_id, source_record_id, language, content_type FROM docs")
+def doc_identity(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", "source_id", "source_record_id", "language", "content_type")
+
+
+@query(f"WITH {DOCS} SELECT document_id, source_record_id || '#sha256-' || sha256(text) AS source_record_id, true AS changed FROM docs")
+def content_bound_ids(spark, sf_dir):
+    out = rekeyed(documents(spark, sf_dir))
+    old = documents(spark, sf_dir).select(F.col("document_id"), "source_id", F.col("source_record_id").alias("r"))
+    # the old id beside the new record
+    return out.withColumn("r", F.split("source_record_id", "#").getItem(0)).select("source_id", "r", "source_record_id", "changed").join(old, ["source_id", "r"]).select("document_id", "source_record_id", "changed")
+
+
+@query(f"WITH {DOCS} SELECT document_id, CASE WHEN language IN ('zh-Hans','zh-Hant','en','code') THEN language ELSE 'other' END AS bucket, greatest(1, strlen(text) // 4)::BIGINT AS tokens FROM docs")
+def token_estimate(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", X.language_bucket(F.col("language")).alias("bucket"), X.estimated_tokens(F.col("text"), F.col("language")).alias("tokens"))
+
+
+_BUCKET = "CASE WHEN length(text) < 256 THEN 'lt-256' WHEN length(text) < 512 THEN 'lt-512' WHEN length(text) < 1024 THEN 'lt-1024' WHEN length(text) < 2048 THEN 'lt-2048' WHEN length(text) < 4096 THEN 'lt-4096' WHEN length(text) < 8192 THEN 'lt-8192' ELSE 'gte-8192' END"
+
+
+@query(f"WITH {DOCS} SELECT {_BUCKET} AS bucket, language, count(*) AS documents, sum(length(text))::BIGINT AS characters FROM docs GROUP BY ALL")
+def length_mix(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.groupBy(X.length_bucket(F.length("text")).alias("bucket"), "language").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text")).alias("characters"))
+
+
+_MIX = [("short", 1, 511), ("middle", 512, 2047), ("long", 2048, 4095), ("full", 4096, 8192)]
+
+
+@query(f"WITH {DOCS}, t AS (SELECT greatest(1, strlen(text) // 4) AS n FROM docs), b(name, lo, hi) AS (VALUES {', '.join(map(str, _MIX))}) SELECT name, count(*) AS documents, sum(n)::BIGINT AS tokens FROM t JOIN b ON n BETWEEN lo AND hi GROUP BY name")
+def mixture_buckets(spark, sf_dir):
+    n = X.estimated_tokens(F.col("text"), F.col("language"))
+    rows = documents(spark, sf_dir).select(n.alias("n"))
+    name = F.coalesce(*(F.when(F.col("n").between(lo, hi), F.lit(b)) for b, lo, hi in _MIX))
+    return rows.select(name.alias("name"), "n").where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"))
+
+
+@query(f"WITH {DOCS}, bad AS (SELECT document_id, CASE WHEN input_index % 7 = 0 THEN 'poetry' ELSE content_type END AS content_type, CASE WHEN input_index % 11 = 0 THEN '  ' ELSE text END AS text FROM docs) SELECT document_id, 'content_type' AS rule FROM bad WHERE content_type = 'poetry' UNION ALL SELECT document_id, 'text' FROM bad WHERE trim(text) = ''")
+def contract_violations(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    bad = d.withColumn("content_type", F.when(F.col("input_index") % 7 == 0, "poetry").otherwise(F.col("content_type"))).withColumn("text", F.when(F.col("input_index") % 11 == 0, "  ").otherwise(F.col("text")))
+    return violations(bad)
+
+
+@query(f"WITH {DOCS} SELECT document_id, sha256('{{\"content_type\":' || to_json(content_type) || ',\"document_id\":' || to_json(document_id) || ',\"language\":' || to_json(language) || ',\"metadata\":\"{{}}\",\"privacy_warnings\":[],\"quality_warnings\":[],\"schema_version\":1,\"source_id\":' || to_json(source_id) || ',\"source_record_id\":' || to_json(source_record_id) || ',\"text\":' || to_json(text) || '}}') AS line_sha FROM docs")
+def canonical_lines(spark, sf_dir):
+    return json_line(documents(spark, sf_dir)).select(F.get_json_object("value", "$.document_id").alias("document_id"), F.sha2("value", 256).alias("line_sha"))
+
+
+# --- cleaning -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CLEAN} SELECT document_id, sha256(text) AS text_sha, array_to_string({_CHANGES}, ',') AS changes FROM clean")
+def clean_text(spark, sf_dir):
+    return X.normalize(dirtied(documents(spark, sf_dir))).select("document_id", F.sha2("clean_text", 256).alias("text_sha"), F.array_join("changes", ",").alias("changes"))
+
+
+@query(f"WITH {_CLEAN} SELECT change, count(*) AS documents FROM (SELECT unnest({_CHANGES}) AS change FROM clean) GROUP BY change")
+def change_counts(spark, sf_dir):
+    return M.label_counts(X.normalize(dirtied(documents(spark, sf_dir))), "changes", "change")
+
+
+@query(f"WITH {DOCS}, {_WARN} SELECT warning, count(*) AS documents FROM (SELECT unnest(warnings) AS warning FROM warned) GROUP BY warning")
+def quality_warning_counts(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return M.label_counts(d.withColumn("w", X.quality_warnings(F.col("text"), F.col("language"))), "w", "warning")
+
+
+@query(f"WITH {DOCS}, {_WARN} SELECT document_id, round(ratio, 6) AS ratio FROM warned WHERE ratio > 0")
+def paragraph_repetition(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", F.round(X.repeated_paragraph_ratio(F.col("text")), 6).alias("ratio")).where("ratio > 0")
+
+
+_GRAMS = rf"w AS (SELECT document_id, list_filter(string_split_regex(text, '{_SPACE}+'), lambda x: x <> '') AS w FROM docs), g AS (SELECT document_id, CASE WHEN len(w) < 4 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) / (len(w) - 3) END AS ratio FROM w)"
+
+
+@query(f"WITH {DOCS}, {_GRAMS} SELECT document_id, round(ratio, 6) AS ratio FROM g")
+def repeated_four_grams(spark, sf_dir):
+    return documents(spark, sf_dir).select("document_id", F.round(X.four_gram_repetition(F.col("text")), 6).alias("ratio"))
+
+
+@query(r"SELECT sum((regexp_matches(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}'))::INT)::BIGINT AS email, sum((regexp_matches(text, '(^|[^0-9])1[3-9][0-9]{9}([^0-9]|$)'))::INT)::BIGINT AS phone FROM documents")
+def alert_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.sum(X.has_email(F.col("text")).cast("int")).alias("email"), F.sum(X.has_phone(F.col("text")).cast("int")).alias("phone"))
+
+
+@query(f"WITH {DOCS}, {_WARN}, reps AS (SELECT text, min_by(document_id, input_index) AS document_id FROM docs GROUP BY text), r AS (SELECT w.* FROM warned w JOIN reps USING (document_id)) SELECT 'language' AS dimension, language AS value, count(*) AS documents FROM r GROUP BY ALL UNION ALL SELECT 'warning', warning, count(*) FROM (SELECT unnest(warnings) AS warning FROM r) GROUP BY ALL")
+def clean_dedup_counts(spark, sf_dir):
+    """The flagship: clean, take one document a text, count by language and warning."""
+    clean = pipelines.cleaned(documents(spark, sf_dir))
+    rows = clean.select("language", "quality_warnings", "input_index", F.sha2("text", 256).alias("sha"))
+    first = rows.groupBy("sha").agg(F.min_by(F.struct("language", "quality_warnings"), "input_index").alias("r")).select("r.*")
+    both = F.concat(F.array(F.struct(F.lit("language").alias("dimension"), F.col("language").alias("value"))), F.transform("quality_warnings", lambda w: F.struct(F.lit("warning").alias("dimension"), w.alias("value"))))
+    return first.select(F.explode(both).alias("x")).groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# --- exact duplicates ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT sha256(text) AS text_sha256, min_by(document_id, input_index) AS representative, string_agg(document_id, ',' ORDER BY input_index) AS members, count(*) AS n FROM docs GROUP BY text HAVING count(*) > 1")
+def exact_clusters(spark, sf_dir):
+    return D.exact_clusters(documents(spark, sf_dir)).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"WITH {DOCS} SELECT sha256(text) AS text_sha256, min(document_id) AS document_id FROM docs GROUP BY text")
+def exact_reps_min_id(spark, sf_dir):
+    return D.exact_representatives(documents(spark, sf_dir), "min_id")
+
+
+@query(f"WITH {DOCS} SELECT sha256(text) AS text_sha256, min_by(document_id, input_index) AS document_id FROM docs GROUP BY text")
+def exact_reps_earliest(spark, sf_dir):
+    return D.exact_representatives(documents(spark, sf_dir), "earliest")
+
+
+@query(f"WITH {DOCS} SELECT document_id, sha256(trim(text)) AS digest FROM docs QUALIFY row_number() OVER (PARTITION BY sha256(trim(text)) ORDER BY source_id, input_index) = 1")
+def dedup_first_wins(spark, sf_dir):
+    return D.first_wins(documents(spark, sf_dir), ["source_id", "input_index"], F.trim("text")).select("document_id", "digest")
+
+
+@query(f"WITH {DOCS} SELECT document_id, language FROM docs QUALIFY row_number() OVER (PARTITION BY language, sha256(trim(text)) ORDER BY input_index) = 1")
+def dedup_within_language(spark, sf_dir):
+    return D.first_wins(documents(spark, sf_dir), ["input_index"], F.trim("text"), ["language"]).select("document_id", "language")
+
+
+@query(f"WITH {DOCS}, two AS (SELECT document_id, 0 AS shard, input_index AS line FROM docs UNION ALL SELECT document_id, 1, input_index FROM docs WHERE input_index % 3 = 0) SELECT document_id, shard, line FROM two QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY shard, line) = 1")
+def identity_dedup(spark, sf_dir):
+    d = documents(spark, sf_dir).select("document_id", F.col("input_index").alias("line"))
+    two = d.withColumn("shard", F.lit(0)).unionByName(d.where("line % 3 = 0").withColumn("shard", F.lit(1)))
+    return D.first_rows(two, ["document_id"], ["shard", "line"]).select("document_id", "shard", "line")
+
+
+@query("SELECT count(*) - count(DISTINCT text) AS duplicates, round((count(*) - count(DISTINCT text)) / count(*), 6) AS fraction FROM documents")
+def duplicate_fraction(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return d.agg((F.sum("n") - F.count(F.lit(1))).alias("duplicates"), F.round((F.sum("n") - F.count(F.lit(1))) / F.sum("n"), 6).alias("fraction"))
+
+
+# --- near duplicates ----------------------------------------------------------------------------------------------
+
+
+def _prints(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    reps = d.join(D.exact_representatives(d).select("document_id"), "document_id", "left_semi")
+    return stored(D.fingerprints(reps), "prints")
+
+
+@query()
+def shingle_counts(spark, sf_dir):
+    return D.fingerprints(documents(spark, sf_dir)).select("document_id", F.size("shingles").alias("shingles"), F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
+
+
+@query()
+def near_pairs(spark, sf_dir):
+    return D.near_pairs(_prints(spark, sf_dir))
+
+
+@query()
+def near_clusters(spark, sf_dir):
+    pairs = D.near_pairs(_prints(spark, sf_dir), 0.5).select("a", "b")
+    return D.clusters_of(pairs).select("cluster_id", "representative", F.array_join("members", ",").alias("members"))
+
+
+@query()
+def probe_pairs(spark, sf_dir):
+    return D.probe_pairs(_prints(spark, sf_dir), F.lit("all"), 12)
+
+
+_EDGES = f"WITH RECURSIVE {DOCS}, e AS (SELECT a.document_id AS a, b.document_id AS b FROM (SELECT document_id, text, lag(document_id) OVER (PARTITION BY text ORDER BY document_id) AS p FROM docs) a JOIN docs b ON b.document_id = a.p), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS node, a AS r FROM both_ UNION SELECT x.node, y.b FROM reach x JOIN both_ y ON y.a = x.r)"
+
+
+def _chain(docs: DataFrame) -> DataFrame:
+    """Links between neighbours of equal texts by id: chains, which components must join."""
+    own = Window.partitionBy(F.sha2("text", 256)).orderBy("document_id")
+    return docs.select(F.col("document_id").alias("a"), F.lag("document_id").over(own).alias("b")).where("b IS NOT NULL")
+
+
+@query(_EDGES + " SELECT node, min(r) AS comp FROM reach GROUP BY node")
+def components(spark, sf_dir):
+    return D.near_components(_chain(documents(spark, sf_dir)))
+
+
+@query(_EDGES + ", comp AS (SELECT node, min(r) AS comp FROM reach GROUP BY node) SELECT document_id FROM docs LEFT JOIN comp ON node = document_id WHERE comp IS NULL OR comp = document_id")
+def retained_docs(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return D.retained(d.select("document_id"), D.near_components(_chain(d)))
+
+
+@query(f"WITH {DOCS}, m AS (SELECT list_sort(list(document_id)) AS m FROM docs GROUP BY text HAVING count(*) > 1) SELECT 'cluster-' || sha256('exact' || chr(0) || array_to_string(m, chr(0))) AS cluster_id, len(m) AS n FROM m")
+def cluster_ids(spark, sf_dir):
+    return D.exact_clusters(documents(spark, sf_dir)).select(H.cluster_id("exact", F.col("members")).alias("cluster_id"), F.size("members").cast("long").alias("n"))
+
+
+# --- splits -------------------------------------------------------------------------------------------------------
+
+_SPLIT = _EDGES + f""", comp AS (SELECT node, min(r) AS comp FROM reach GROUP BY node), grp AS MATERIALIZED (SELECT document_id, coalesce(comp, document_id) AS group_key FROM docs LEFT JOIN comp ON node = document_id),
+sizes AS MATERIALIZED (SELECT group_key, count(*) AS size FROM grp GROUP BY group_key), n AS (SELECT count(*) AS n FROM docs),
+rt AS MATERIALIZED (SELECT group_key, size, row_number() OVER (ORDER BY sha256('{P.SALT}' || chr(0) || 'test' || chr(0) || group_key)) AS k FROM sizes),
+ft AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS group_key, false AS taken, (SELECT floor(n * 0.01)::BIGINT FROM n) AS remaining UNION ALL SELECT rt.k, rt.group_key, rt.size <= ft.remaining, CASE WHEN rt.size <= ft.remaining THEN ft.remaining - rt.size ELSE ft.remaining END FROM ft JOIN rt ON rt.k = ft.k + 1 WHERE ft.remaining > 0),
+rv AS MATERIALIZED (SELECT group_key, size, row_number() OVER (ORDER BY sha256('{P.SALT}' || chr(0) || 'validation' || chr(0) || group_key)) AS k FROM sizes WHERE group_key NOT IN (SELECT group_key FROM ft WHERE taken)),
+fv AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS group_key, false AS taken, (SELECT floor(n * 0.01)::BIGINT FROM n) AS remaining UNION ALL SELECT rv.k, rv.group_key, rv.size <= fv.remaining, CASE WHEN rv.size <= fv.remaining THEN fv.remaining - rv.size ELSE fv.remaining END FROM fv JOIN rv ON rv.k = fv.k + 1 WHERE fv.remaining > 0),
+assigned AS (SELECT document_id, group_key, CASE WHEN group_key IN (SELECT group_key FROM ft WHERE taken) THEN 'test' WHEN group_key IN (SELECT group_key FROM fv WHERE taken) THEN 'validation' ELSE 'train' END AS split FROM grp)"""
+
+
+def _assigned(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return P.assign(d, D.near_components(_chain(d)))
+
+
+@query(_SPLIT + " SELECT * FROM assigned")
+def leakage_safe_split(spark, sf_dir):
+    return _assigned(spark, sf_dir)
+
+
+@query(_SPLIT + " SELECT split, language, count(*) AS documents FROM assigned JOIN docs USING (document_id) GROUP BY ALL")
+def split_counts(spark, sf_dir):
+    return _assigned(spark, sf_dir).join(documents(spark, sf_dir).select("document_id", "language"), "document_id").groupBy("split", "language").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT 'x' AS group_key, 0::BIGINT AS splits WHERE false")
+def split_leakage(spark, sf_dir):
+    return P.leaks(_assigned(spark, sf_dir))
+
+
+_ELIGIBLE = "(length(text) >= 200 AND greatest(1, strlen(text) // 4) BETWEEN 512 AND 7168)"
+
+
+@query(f"WITH {DOCS}, h AS (SELECT document_id, {_ELIGIBLE} AS ok, sha256('v1' || chr(0) || document_id) AS h FROM docs), r AS (SELECT document_id, ok, row_number() OVER (PARTITION BY ok ORDER BY h) AS k, count(*) OVER (PARTITION BY ok) AS n FROM h) SELECT document_id, CASE WHEN ok AND k <= round_even(n * 0.01, 0) THEN 'validation' ELSE 'train' END AS split FROM r")
+def validation_99_1(spark, sf_dir):
+    ok = (F.length("text") >= 200) & X.estimated_tokens(F.col("text"), F.col("language")).between(512, 7168)
+    return S.validation_split(documents(spark, sf_dir), ok, "document_id", "v1").select("document_id", "split")
+
+
+# --- sampling and mixing ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT document_id, (('0x' || substr(sha256('s1:' || document_id), 1, 16))::UBIGINT % 10000)::INT AS points FROM docs WHERE ('0x' || substr(sha256('s1:' || document_id), 1, 16))::UBIGINT % 10000 < 2500")
+def hash_sample_bp(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return S.by_basis_points(d, F.col("document_id"), "s1", 2500).select("document_id", H.basis_points("s1", F.col("document_id")).alias("points"))
+
+
+@query(f"WITH {DOCS} SELECT document_id, sha256('s2' || chr(0) || document_id) < '4000000000000000000000000000000000000000000000000000000000000000' AS quarter FROM docs WHERE sha256('s2' || chr(0) || document_id) < '8000000000000000000000000000000000000000000000000000000000000000'")
+def threshold_sample(spark, sf_dir):
+    d = S.by_ratio(documents(spark, sf_dir), F.col("document_id"), "s2", 0.5)
+    return d.select("document_id", H.below_ratio(H.seeded("s2", F.col("document_id"), "\x00"), 0.25).alias("quarter"))
+
+
+_HELD = "held AS (SELECT document_id, source_id, sha256('43' || chr(0) || document_id) AS rank_hash FROM docs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY sha256('43' || chr(0) || document_id)) <= 5)"
+
+
+@query(f"WITH {DOCS}, {_HELD} SELECT document_id, source_id, rank_hash FROM held")
+def heldout_lowest_k(spark, sf_dir):
+    return S.lowest(documents(spark, sf_dir), F.col("document_id"), "43", 5, ["source_id"]).select("document_id", "source_id", "rank_hash")
+
+
+@query(f"WITH {DOCS}, {_HELD} SELECT source_id, count(*) AS documents FROM docs WHERE document_id NOT IN (SELECT document_id FROM held) AND sha256('42' || chr(0) || document_id) < 'c000000000000000000000000000000000000000000000000000000000000000' GROUP BY source_id")
+def train_minus_heldout(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    held = S.lowest(d, F.col("document_id"), "43", 5, ["source_id"]).select("document_id")
+    return S.by_ratio(d.join(held, "document_id", "left_anti"), F.col("document_id"), "42", 0.75).groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"WITH {DOCS} SELECT document_id, sha256('7:' || document_id) AS rank_hash FROM docs ORDER BY rank_hash LIMIT 25")
+def lowest_hash_top_k(spark, sf_dir):
+    """A top-k report: the limit is the feature."""
+    return S.lowest(documents(spark, sf_dir), F.col("document_id"), "7", 25, between=":").select("document_id", "rank_hash")
+
+
+@query(f"WITH {DOCS} SELECT document_id, source_id FROM docs QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY input_index) BETWEEN 4 AND 13")
+def offset_then_limit(spark, sf_dir):
+    return S.skip_and_take(documents(spark, sf_dir), ["input_index"], 3, 10, ["source_id"]).select("document_id", "source_id")
+
+
+@query(f"WITH {DOCS}, r AS (SELECT document_id, source_id, coalesce(sum(greatest(1, strlen(text) // 4)) OVER (PARTITION BY source_id ORDER BY input_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs) SELECT * FROM r WHERE before < 10000")
+def quota_by_source(spark, sf_dir):
+    n = X.estimated_tokens(F.col("text"), F.col("language"))
+    return S.within_quota(documents(spark, sf_dir), n, 10_000, ["source_id"], ["input_index"]).select("document_id", "source_id", "before")
+
+
+@query(f"WITH {DOCS}, u AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY trim(text) ORDER BY source_id, input_index) = 1), r AS (SELECT document_id, source_id, coalesce(sum(strlen(text)) OVER (PARTITION BY source_id ORDER BY input_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM u WHERE length(trim(text)) BETWEEN 100 AND 20000) SELECT source_id, count(*) AS documents, max(before) AS before FROM r WHERE before < 60000 GROUP BY source_id")
+def byte_quota_after_dedup(spark, sf_dir):
+    d = D.first_wins(documents(spark, sf_dir), ["source_id", "input_index"], F.trim("text")).where(F.length(F.trim("text")).between(100, 20_000))
+    return S.within_quota(d, F.octet_length("text").cast("long"), 60_000, ["source_id"], ["input_index"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("documents"), F.max("before").alias("before"))
+
+
+@query(f"WITH RECURSIVE {DOCS}, s AS (SELECT source_id, sum(greatest(1, strlen(text) // 4))::BIGINT AS have, row_number() OVER (ORDER BY source_id) AS k FROM docs GROUP BY source_id), f AS (SELECT 0::BIGINT AS k, ''::VARCHAR AS source_id, 0::BIGINT AS effective, 0::BIGINT AS taken, 0::BIGINT AS carry UNION ALL SELECT s.k, s.source_id, 30000 + f.carry, least(s.have, 30000 + f.carry), 30000 + f.carry - least(s.have, 30000 + f.carry) FROM f JOIN s ON s.k = f.k + 1) SELECT source_id, effective, taken FROM f WHERE k > 0")
+def carry_forward(spark, sf_dir):
+    n = X.estimated_tokens(F.col("text"), F.col("language"))
+    sums = documents(spark, sf_dir).groupBy("source_id").agg(F.sum(n).alias("have")).orderBy("source_id").collect()  # a row a source
+    rows = S.carried_targets([(r[0], r[1]) for r in sums], {r[0]: 30_000 for r in sums})
+    return spark.createDataFrame(rows or [], "source_id string, effective long, taken long")
+
+
+_RULES = [{"name": "wiki-en", "source_ids": [f"src{i}" for i in range(10)], "content_types": ["encyclopedia", "science"], "languages": ["en"], "basis_points": 6000}, {"name": "code-any", "source_ids": [f"src{i}" for i in range(20)], "content_types": ["code"], "languages": ["en", "fr", "de", "es"], "basis_points": 3000}]
+
+
+@query(f"WITH {DOCS}, s AS (SELECT document_id, CASE WHEN source_id IN ({', '.join(repr(x) for x in _RULES[0]['source_ids'])}) AND content_type IN ('encyclopedia', 'science') AND language = 'en' THEN 'wiki-en' WHEN content_type = 'code' AND source_id LIKE 'src%' THEN 'code-any' END AS rule, ('0x' || substr(sha256('cool:' || document_id), 1, 16))::UBIGINT % 10000 AS p FROM docs) SELECT document_id, rule FROM s WHERE p < CASE rule WHEN 'wiki-en' THEN 6000 WHEN 'code-any' THEN 3000 END")
+def rule_selection(spark, sf_dir):
+    return S.by_rules(documents(spark, sf_dir), _RULES, "cool").select("document_id", "rule")
+
+
+@query(f"WITH {DOCS} SELECT component, language, count(*) AS documents FROM (SELECT 0 AS component, language, unnest(range(1)) FROM docs WHERE language = 'en' UNION ALL SELECT 1, language, unnest(range(3)) FROM docs WHERE language <> 'en') GROUP BY ALL")
+def mixture_repeat(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return S.repeated_union([(d.where("language = 'en'"), 1), (d.where("language <> 'en'"), 3)]).groupBy("component", "language").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT count(*) AS positions, count(*) AS indexes, 0::BIGINT AS least, max(n) - 1 AS greatest FROM documents, n")
+def shuffled_order(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    p = S.permuted(spark.range(n).withColumnRenamed("id", "position"), n, 17, 3)
+    return p.agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("dataset_index").alias("indexes"), F.min("dataset_index").alias("least"), F.max("dataset_index").alias("greatest"))
