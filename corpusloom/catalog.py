@@ -381,3 +381,334 @@ def shuffled_order(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
     p = S.permuted(spark.range(n).withColumnRenamed("id", "position"), n, 17, 3)
     return p.agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("dataset_index").alias("indexes"), F.min("dataset_index").alias("least"), F.max("dataset_index").alias("greatest"))
+
+
+# --- token streams ------------------------------------------------------------------------------------------------
+
+_TOKENS = f"{DOCS}, tok AS MATERIALIZED (SELECT document_id, source_id, language, input_index, list_concat([2], list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: ascii(c) + 4), [3]) AS tokens FROM docs)"
+
+
+def _tokens(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).withColumn("tokens", T.wrapped(T.code_points(F.col("text"))))
+
+
+@query(f"WITH {_TOKENS} SELECT document_id, len(tokens)::BIGINT AS token_count, (sum(len(tokens)) OVER (PARTITION BY source_id ORDER BY input_index) - len(tokens))::BIGINT AS token_offset FROM tok")
+def token_offsets(spark, sf_dir):
+    return T.token_offsets(_tokens(spark, sf_dir), F.size("tokens").cast("long"), ["source_id"], ["input_index"]).select("document_id", "token_count", "token_offset")
+
+
+@query(f"WITH {_TOKENS}, s AS (SELECT unnest(tokens) AS t, input_index, generate_subscripts(tokens, 1) AS i FROM tok), n AS (SELECT t, row_number() OVER (ORDER BY input_index, i) - 1 AS k FROM s) SELECT (k // 512)::BIGINT AS block_id, sum(t)::BIGINT AS token_sum, min_by(t, k)::BIGINT AS first_token, max_by(t, k)::BIGINT AS last_token FROM n GROUP BY k // 512 HAVING count(*) = 512")
+def packed_blocks(spark, sf_dir):
+    b = T.packed_blocks(_tokens(spark, sf_dir).select("tokens", "input_index"), "tokens", 512, "input_index")
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda n, t: n + t)
+    return b.select("block_id", total.alias("token_sum"), F.element_at("tokens", 1).cast("long").alias("first_token"), F.element_at("tokens", -1).cast("long").alias("last_token"))
+
+
+_WINDOWS = f"{_TOKENS}, win AS (SELECT document_id, unnest(range(0, len(tokens) - 2048 + 1, 1536)) AS window_start FROM tok WHERE len(tokens) >= 2048)"
+
+
+@query(f"WITH {_WINDOWS} SELECT document_id, window_start, window_start + 2048 AS window_end, CASE WHEN window_start = 0 THEN 0.0 ELSE 0.25 END AS overlap_ratio FROM win")
+def long_windows(spark, sf_dir):
+    d = _tokens(spark, sf_dir).withColumn("n", F.size("tokens").cast("long"))
+    return T.long_windows(d, "n", 2048, 1536, ["document_id"])
+
+
+@query(f"WITH {_WINDOWS}, h AS (SELECT *, sha256('w' || chr(0) || document_id || ':' || window_start::VARCHAR) AS selection_hash FROM win) SELECT document_id, window_start, selection_hash, row_number() OVER (ORDER BY selection_hash, document_id, window_start) - 1 AS rank FROM h ORDER BY selection_hash LIMIT 50")
+def ranked_windows(spark, sf_dir):
+    """The first windows by hash: the limit is the feature."""
+    w = long_windows(spark, sf_dir)
+    key = F.concat_ws(":", "document_id", F.col("window_start").cast("string"))
+    return T.ranked_windows(w, "w", key, 50, ["document_id", "window_start"]).select("document_id", "window_start", "selection_hash", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_TOKENS}, s AS (SELECT document_id, unnest(list_concat([2], tokens[1:6], tokens[1:4], [0, 0])) AS t, unnest(range(12)) AS i FROM tok) SELECT document_id, array_to_string(list(seg ORDER BY i), ',') AS segments FROM (SELECT document_id, i, CASE WHEN t = 0 THEN 0 ELSE sum(CASE WHEN t = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY i) END::BIGINT AS seg FROM s WHERE i IS NOT NULL AND t IS NOT NULL) GROUP BY document_id")
+def segment_ids(spark, sf_dir):
+    block = F.concat(F.array(F.lit(2)), F.slice("tokens", 1, 6), F.slice("tokens", 1, 4), F.array(F.lit(0), F.lit(0)))
+    # short documents make shorter blocks; the SQL's range ends with them
+    return _tokens(spark, sf_dir).select("document_id", F.array_join(F.slice(T.segments(block), 1, 12).cast("array<string>"), ",").alias("segments"))
+
+
+@query(f"WITH {_TOKENS}, st AS (SELECT document_id, tokens, unnest(CASE WHEN len(tokens) <= 1000 THEN [0] ELSE range(0, len(tokens) - 1, 999) END) AS start FROM tok) SELECT document_id, start, len(tokens[start + 1:start + 1000]) AS length, list_sum(tokens[start + 1:start + 1000])::BIGINT AS token_sum, list_sum(CASE WHEN start = 0 THEN tokens[1:1000] ELSE tokens[start + 2:start + 1000] END)::BIGINT - CASE WHEN start = 0 THEN 0 ELSE 100 END AS label_sum FROM st")
+def label_fragments(spark, sf_dir):
+    f = _tokens(spark, sf_dir).select("document_id", F.explode(T.fragments(F.col("tokens"), F.col("tokens"), 1000)).alias("f"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, t: n + t)
+    return f.select("document_id", F.col("f.start").cast("long").alias("start"), F.size("f.tokens").cast("long").alias("length"), total("f.tokens").alias("token_sum"), total("f.labels").alias("label_sum"))
+
+
+@query(f"WITH {_TOKENS} SELECT document_id, (ceil(len(tokens) / 512.0) * 512)::BIGINT AS padded FROM tok")
+def padded_lengths(spark, sf_dir):
+    return _tokens(spark, sf_dir).select("document_id", T.padded_length(F.size("tokens"), 512).alias("padded"))
+
+
+@query(f"WITH {_TOKENS} SELECT count(DISTINCT t) AS observed, count(*) AS tokens, round(count(DISTINCT t) / 70000, 6) AS coverage FROM (SELECT unnest(tokens) AS t FROM tok)")
+def vocabulary_coverage(spark, sf_dir):
+    return M.vocabulary_coverage(_tokens(spark, sf_dir), "tokens", 70_000)
+
+
+@query(f"WITH RECURSIVE {_TOKENS}, r AS MATERIALIZED (SELECT source_id, document_id, len(tokens) AS n, row_number() OVER (PARTITION BY source_id ORDER BY input_index) AS k FROM tok), f AS (SELECT source_id, document_id, k, 0 AS shard, n AS used FROM r WHERE k = 1 UNION ALL SELECT r.source_id, r.document_id, r.k, CASE WHEN f.used + r.n > 20000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used + r.n > 20000 THEN r.n ELSE f.used + r.n END FROM f JOIN r ON r.source_id = f.source_id AND r.k = f.k + 1) SELECT document_id, source_id, shard FROM f")
+def shard_rollover(spark, sf_dir):
+    sizes = _tokens(spark, sf_dir).select("document_id", "source_id", "input_index", F.size("tokens").alias("n"))
+    return T.next_fit(sizes, "n", 20_000, ["source_id"], ["input_index"]).select("document_id", "source_id", "shard")
+
+
+@query()
+def binary_round_trip(spark, sf_dir):
+    """Token shards as bytes, read back: documents and tokens of each shard."""
+    sizes = _tokens(spark, sf_dir).select("document_id", "source_id", "input_index", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.least(t, F.lit(65_535))).alias("tokens"))
+    shards = T.next_fit(sizes.drop("tokens"), "n", 20_000, ["source_id"], ["input_index"]).join(sizes.select("document_id", "tokens"), "document_id").withColumn("key", F.concat_ws("/", "source_id", F.col("shard").cast("string")))
+    back = writers.read_token_bytes(writers.token_bytes(shards, "tokens", "key", "input_index"))
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+# --- conversations ------------------------------------------------------------------------------------------------
+
+_CHATS = rf"""turns AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{_NO_LF}+\n', chr(10), 'g'), '^{_SPACE}+', ''), '{_SPACE}+$', '') AS content FROM conversations),
+chats AS MATERIALIZED (SELECT conv_id, list({{'content': content, 'role': role}} ORDER BY turn) AS m, list(role ORDER BY turn) AS roles FROM turns GROUP BY conv_id),
+valid AS MATERIALIZED (SELECT * FROM chats WHERE len(m) >= 2 AND len(list_filter(m, lambda x: x.content = '' OR x.role NOT IN ('system', 'user', 'assistant'))) = 0 AND list_contains(roles, 'user') AND roles[-1] = 'assistant' AND len(list_filter(range(2, len(m) + 1), lambda i: roles[i] = roles[i - 1] AND roles[i] <> 'system')) = 0)"""
+
+
+def _chats(spark, sf_dir) -> DataFrame:
+    return C.assembled(table(spark, sf_dir, "conversations"))
+
+
+def _valid(spark, sf_dir) -> DataFrame:
+    return _chats(spark, sf_dir).where(C.is_valid(F.col("messages")))
+
+
+@query(f"WITH {_CHATS} SELECT conv_id, len(m)::BIGINT AS messages FROM valid")
+def valid_conversations(spark, sf_dir):
+    return _valid(spark, sf_dir).select("conv_id", F.size("messages").cast("long").alias("messages"))
+
+
+@query(f"WITH {_CHATS} SELECT conv_id, array_to_string(list_filter(range(len(m)), lambda i: roles[i + 1] = 'assistant'), ',') AS targets, (len(m) - 1)::BIGINT AS final_target FROM valid")
+def target_mask(spark, sf_dir):
+    m = F.col("messages")
+    return _valid(spark, sf_dir).select("conv_id", F.array_join(C.targets(m).cast("array<string>"), ",").alias("targets"), F.get(C.targets(m, True), F.lit(0)).cast("long").alias("final_target"))
+
+
+@query(f"WITH {_CHATS} SELECT sha256('[' || array_to_string(list_transform(m, lambda x: '{{\"content\":' || to_json(x.content) || ',\"role\":' || to_json(x.role) || '}}'), ',') || ']') AS conversation_id, count(*) AS copies, min(conv_id) AS conv_id FROM valid GROUP BY 1")
+def conversation_dedup(spark, sf_dir):
+    v = _valid(spark, sf_dir).withColumn("conversation_id", C.conversation_id(F.col("messages")))
+    return v.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("copies"), F.min("conv_id").alias("conv_id"))
+
+
+@query()
+def conversation_near_dedup(spark, sf_dir):
+    v = stored(_valid(spark, sf_dir).withColumn("targets", C.targets(F.col("messages"))), "chats")
+    keyed = v.join(C.near_key(v), "conv_id")
+    return C.deduplicated(keyed, "near_key", ["conv_id"]).select("near_key", "conv_id", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+
+
+@query(f"WITH {_CHATS}, j AS (SELECT m, array_to_string(list_transform(m, lambda x: x.content), ' ') AS t FROM valid) SELECT sum((regexp_matches(t, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[A-Za-z]{{2,}}'))::INT)::BIGINT AS email, sum((regexp_matches(t, '(^|[^0-9])1[3-9][0-9]{{9}}([^0-9]|$)'))::INT)::BIGINT AS phone, sum((length(t) > 100000 OR len(m) > 64)::INT)::BIGINT AS anomalous_length FROM j")
+def conversation_alerts(spark, sf_dir):
+    return C.alerts(_valid(spark, sf_dir))
+
+
+@query(f"WITH {_CHATS} SELECT conv_id, (1 + list_sum(list_transform(m, lambda x: 2 + length(x.content))))::BIGINT AS tokens, list_sum(list_transform(m, lambda x: CASE WHEN x.role = 'assistant' THEN 1 + length(x.content) ELSE 0 END))::BIGINT AS targets FROM valid")
+def supervised_labels(spark, sf_dir):
+    m = F.col("messages")
+    pairs = T.supervised(m, C.targets(m), {"system": 5, "user": 6, "assistant": 7}, 8, T.code_points)
+    return _valid(spark, sf_dir).select("conv_id", F.size(pairs).cast("long").alias("tokens"), F.size(F.filter(pairs, lambda p: p["label"] != T.IGNORE)).cast("long").alias("targets"))
+
+
+@query()
+def target_windows(spark, sf_dir):
+    m = F.col("messages")
+    pairs = T.supervised(m, C.targets(m), {"system": 5, "user": 6, "assistant": 7}, 8, T.code_points)
+    rows = _valid(spark, sf_dir).select("conv_id", pairs.alias("p")).select("conv_id", F.transform("p", lambda p: p["token"]).alias("tokens"), F.transform("p", lambda p: p["label"]).alias("labels"))
+    w = T.windowed_targets(rows, 256, "conv_id")
+    return w.select("conv_id", "window", F.size("tokens").alias("length"), F.size(F.filter("labels", lambda x: x != T.IGNORE)).alias("targets"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
+def final_assistant_turns(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return D.first_rows(c.withColumn("back", -F.col("turn")), ["conv_id"], ["back"]).select("conv_id", "turn", "role")
+
+
+@query("WITH g AS (SELECT a, b FROM range(-9, 13) t(a), range(-9, 13) u(b)), e AS (SELECT a || ' ' || s || ' ' || b AS x, v FROM (SELECT a, b, unnest(['+', '-', '*']) AS s, unnest([a + b, a - b, a * b]) AS v FROM g)) SELECT CASE ('0x' || substr(sha256('arithmetic:' || x), 1, 2))::UBIGINT % 3 WHEN 0 THEN 'What is ' || x || '?' WHEN 1 THEN 'Compute ' || x || '.' ELSE x || ' =' END AS question, v::VARCHAR AS answer FROM e")
+def arithmetic_tasks(spark, sf_dir):
+    return C.arithmetic(spark, -9, 12, ["What is {}?", "Compute {}.", "{} ="])
+
+
+# --- metrics ------------------------------------------------------------------------------------------------------
+
+_METRICS = f"{DOCS}, met AS (SELECT document_id, language, content_type, source_id, length(text) AS characters, strlen(text) AS utf8_bytes, greatest(1, strlen(text) // 4) AS tokens, (input_index % 50 = 0)::INT AS unknowns, (input_index % 200 = 0)::INT AS roundtrip_failure FROM docs)"
+
+
+def _metric_rows(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    return d.select("document_id", "language", "content_type", "source_id", F.length("text").alias("characters"), F.octet_length("text").alias("utf8_bytes"), X.estimated_tokens(F.col("text"), F.col("language")).alias("tokens"), (F.col("input_index") % 50 == 0).cast("int").alias("unknowns"), (F.col("input_index") % 200 == 0).alias("roundtrip_failure"))
+
+
+@query(f"WITH {_METRICS} SELECT language, content_type, source_id, count(*) AS documents, sum(characters)::BIGINT AS characters, sum(utf8_bytes)::BIGINT AS utf8_bytes, sum(tokens)::BIGINT AS tokens, sum(unknowns)::BIGINT AS unknowns, sum(roundtrip_failure)::BIGINT AS roundtrip_failures, round(sum(characters) / sum(tokens), 6) AS chars_per_token, round(sum(utf8_bytes) / sum(tokens), 6) AS bytes_per_token, round(sum(unknowns) / sum(tokens), 6) AS unknown_rate FROM met GROUP BY GROUPING SETS ((), (language), (content_type), (source_id))")
+def compression_metrics(spark, sf_dir):
+    return M.compression(_metric_rows(spark, sf_dir), ["language", "content_type", "source_id"])
+
+
+@query(f"WITH {_METRICS} SELECT language, round(quantile_cont(characters / tokens, 0.05), 6) AS p05, round(quantile_cont(characters / tokens, 0.5), 6) AS p50, round(quantile_cont(characters / tokens, 0.95), 6) AS p95 FROM met GROUP BY language")
+def percentiles(spark, sf_dir):
+    return M.percentiles(_metric_rows(spark, sf_dir), F.col("characters") / F.col("tokens"), ["language"])
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    return M.bootstrap(_metric_rows(spark, sf_dir), "characters", "tokens", "source_id", 100)
+
+
+@query(f"WITH {_METRICS} SELECT 'language' AS dimension, language AS value, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM met GROUP BY ALL UNION ALL SELECT 'content_type', content_type, count(*), sum(tokens)::BIGINT FROM met GROUP BY ALL UNION ALL SELECT 'source_id', source_id, count(*), sum(tokens)::BIGINT FROM met GROUP BY ALL")
+def counts_by_dimension(spark, sf_dir):
+    return M.counts_by(_metric_rows(spark, sf_dir), ["language", "content_type", "source_id"], F.col("tokens"))
+
+
+@query(f"WITH {DOCS} SELECT source_id || '|' || language || '|' || content_type AS stratum, count(*) AS documents FROM docs GROUP BY ALL")
+def strata_counts(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy(F.concat_ws("|", "source_id", "language", "content_type").alias("stratum")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"WITH {DOCS} SELECT language, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM docs GROUP BY language")
+def language_shares(spark, sf_dir):
+    return M.shares(documents(spark, sf_dir), "language")
+
+
+_SCORES = "sc AS (SELECT p_partkey, p_brand, (p_partkey % 4)::INT AS answer, [-(p_size % 7)::DOUBLE, -(p_partkey % 5)::DOUBLE, -(p_size % 3)::DOUBLE, -(p_partkey % 11)::DOUBLE] AS s, [1.0, 2.0, 3.0, 1.0] AS n FROM part), best AS (SELECT *, list_position(s, list_max(s)) - 1 AS b, list_position(list_transform(range(1, 5), lambda i: s[i] / n[i]), list_max(list_transform(range(1, 5), lambda i: s[i] / n[i]))) - 1 AS bn FROM sc)"
+
+
+@query(f"WITH {_SCORES} SELECT p_brand, count(*) AS tasks, round(avg((b = answer)::INT), 6) AS accuracy, round(avg((bn = answer)::INT), 6) AS normalized, 0.25 AS chance FROM best GROUP BY p_brand")
+def choice_accuracy(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    d = lambda c, k: -(F.col(c) % k).cast("double")
+    rows = p.select("p_brand", (F.col("p_partkey") % 4).cast("int").alias("answer"), F.array(d("p_size", 7), d("p_partkey", 5), d("p_size", 3), d("p_partkey", 11)).alias("s"), F.array(*map(F.lit, (1.0, 2.0, 3.0, 1.0))).alias("n"))
+    return M.accuracy(rows, ["p_brand"], "answer", "s", "n")
+
+
+@query("SELECT l_returnflag, sum(l_quantity)::BIGINT AS targets, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS loss, round(exp(sum(l_discount * l_quantity) / sum(l_quantity)), 6) AS perplexity FROM lineitem GROUP BY l_returnflag")
+def weighted_loss(spark, sf_dir):
+    return M.weighted_loss(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_discount", "l_quantity").withColumn("targets", F.col("targets").cast("long"))
+
+
+@query(f"WITH {_METRICS}, o AS (SELECT tokens, row_number() OVER (ORDER BY document_id) - 1 AS k FROM met) SELECT (k // 24)::BIGINT AS step, sum(tokens)::BIGINT AS targets FROM o GROUP BY k // 24")
+def targets_per_step(spark, sf_dir):
+    rows = _metric_rows(spark, sf_dir).select("document_id", "tokens").orderBy("document_id")
+    placed = T.global_offsets(_ranked(rows, "document_id"), F.lit(1).cast("long"), "r")
+    return M.targets_per_step(placed, "token_offset", "tokens", 24)
+
+
+def _ranked(df: DataFrame, order: str) -> DataFrame:
+    """df with r: the rank by a unique string column, from two-level counts by its last hexadecimal digits' range."""
+    # ids end in a uniform hash: their first digits cut them into even ranges
+    part = F.conv(F.substring(order, 5, 3), 16, 10).cast("int")
+    rows = df.withColumn("_p", part)
+    before = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(before, "_p").withColumn("r", F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1).drop("_p", "_b")
+
+
+@query("SELECT step, CASE WHEN step < 100 THEN (step + 1) / 100.0 WHEN step < 800 THEN 1.0 ELSE 1 - 0.9 * (step - 800) / 199.0 END AS multiplier FROM range(1000) t(step)")
+def learning_rates(spark, sf_dir):
+    return M.schedule(spark.range(1000).withColumnRenamed("id", "step"), "trapezoidal", 1000, 100, 200).withColumn("multiplier", F.col("multiplier").cast("double"))
+
+
+@query("SELECT event_id, round(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)), 3) AS seconds, round(value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), 6) AS change FROM events")
+def event_deltas(spark, sf_dir):
+    # the tables' times have no zone
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return e.select("event_id", F.round(F.col("at") - F.lag("at").over(own), 3).alias("seconds"), F.round(F.col("value") - F.lag("value").over(own), 6).alias("change"))
+
+
+@query("SELECT l.l_returnflag, l.l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem l GROUP BY ALL")
+def pricing_summary(spark, sf_dir):
+    """A check of plain aggregation over the relational tables."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
+def orders_by_nation(spark, sf_dir):
+    """A check of joins over the relational tables."""
+    o, c, n, r = (table(spark, sf_dir, x) for x in ("orders", "customer", "nation", "region"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# --- audits and gates ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, b AS (SELECT sum((length(text) NOT BETWEEN 50 AND 30000)::INT) AS a, sum((content_type NOT IN ('general','encyclopedia','science','math'))::INT) AS c, sum((trim(text) = '')::INT) AS t, count(*) - count(DISTINCT document_id) AS i, count(*) - count(DISTINCT text) AS d FROM docs) SELECT unnest(['length_bounds','content_type','blank_text','unique_ids','unique_texts']) AS name, unnest([a = 0, c = 0, t = 0, i = 0, d = 0]) AS passed, unnest([a, c, t, i, d])::VARCHAR AS detail FROM b")
+def corpus_audit(spark, sf_dir):
+    return G.corpus_audit(documents(spark, sf_dir), 50, 30_000, ["general", "encyclopedia", "science", "math"])
+
+
+@query(f"WITH {DOCS}, s AS (SELECT source_id, sum(strlen(text))::BIGINT AS amount FROM docs GROUP BY source_id) SELECT source_id, amount, round(amount / sum(amount) OVER (), 6) AS share, amount / sum(amount) OVER () <= 0.055 AS passed FROM s")
+def source_ceiling(spark, sf_dir):
+    return G.share_limit(documents(spark, sf_dir), "source_id", F.octet_length("text").cast("long"), 0.055)
+
+
+@query(f"WITH {DOCS} SELECT 'overlap' AS name, count(*) = 0 AS passed, count(*)::VARCHAR AS detail FROM (SELECT text FROM docs WHERE input_index % 2 = 0 INTERSECT SELECT text FROM docs WHERE input_index % 2 = 1)")
+def split_disjoint(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return G.disjoint(d.where("input_index % 2 = 0"), d.where("input_index % 2 = 1"), "text", "overlap")
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT content_type FROM docs WHERE content_type NOT IN (SELECT content_type FROM docs WHERE input_index % 5 < 3)")
+def uncovered_types(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return G.covered(d, d.where("input_index % 5 < 3"), "content_type")
+
+
+@query("WITH e AS (SELECT 'f' || doc_id AS path, n_chars AS want FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT 'f' || doc_id AS path, n_chars + (doc_id % 10 = 1)::INT AS have FROM documents WHERE doc_id % 5 <> 0) SELECT path, CASE WHEN have IS NULL THEN 'missing' WHEN want IS NULL THEN 'extra' WHEN want <> have THEN 'size_mismatch' ELSE 'ok' END AS state FROM e FULL JOIN a USING (path)")
+def file_states(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("f"), "doc_id"))
+    e = d.where("doc_id % 3 <> 0").select("path", F.col("n_chars").alias("size"))
+    a = d.where("doc_id % 5 <> 0").select("path", (F.col("n_chars") + (F.col("doc_id") % 10 == 1).cast("int")).alias("size"))
+    return G.file_states(e, a)
+
+
+@query("WITH s AS (SELECT o_orderkey AS step, 5.0 - o_orderkey / 1e6 AS loss FROM orders), e AS (SELECT min(step) AS lo, max(step) AS hi FROM s) SELECT unnest(['contiguous', 'finite', 'not_rising']) AS name, unnest([c, true, r <= 1.02]) AS passed, unnest([n::VARCHAR, '0', r::VARCHAR]) AS detail FROM (SELECT count(*) = max(hi) - max(lo) + 1 AS c, count(*) AS n, round(avg(CASE WHEN step > hi - 5 THEN loss END) / avg(CASE WHEN step < lo + 5 THEN loss END), 6) AS r FROM s, e)")
+def smoke_gate(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"), (5.0 - F.col("o_orderkey") / 1e6).alias("loss"))
+    return G.smoke(s, "step", "loss")
+
+
+@query(f"WITH {_METRICS}, g AS (SELECT language, sum(tokens) AS s, sum(utf8_bytes) // 5 AS l FROM met GROUP BY language) SELECT unnest(['same_groups', 'reduction', 'no_regression']) AS name, unnest([true, 1 - sum(l) / sum(s) >= 0.1, max((l > s)::INT) = 0]) AS passed, unnest([count(*)::VARCHAR, round(1 - sum(l) / sum(s), 6)::VARCHAR, sum((l > s)::INT)::VARCHAR]) AS detail FROM g")
+def vocabulary_gate(spark, sf_dir):
+    m = _metric_rows(spark, sf_dir).groupBy("language").agg(F.sum("tokens").alias("s"), F.floor(F.sum("utf8_bytes") / 5).alias("l"))
+    return G.vocabulary_choice(m.select("language", F.col("s").alias("tokens")), m.select("language", F.col("l").alias("tokens")), "language")
+
+
+@query(f"WITH {DOCS} SELECT 'all' AS source_id, count(*) AS record_count, sum(length(text))::BIGINT AS characters, sum(strlen(text))::BIGINT AS utf8_bytes, min(sha256(document_id)) AS least_digest, max(sha256(document_id)) AS greatest_digest FROM docs")
+def dataset_manifest(spark, sf_dir):
+    return G.manifest(documents(spark, sf_dir), "all")
+
+
+@query(f"WITH {DOCS} SELECT 'acquired' AS stage, count(*) AS rows FROM docs UNION ALL SELECT 'exact', count(DISTINCT text) FROM docs")
+def lineage_counts(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return G.same_counts([("acquired", d), ("exact", D.exact_representatives(d))])
+
+
+# --- sources and whole pipelines ----------------------------------------------------------------------------------
+
+_SOURCE = readers.Source("corpus-x", "en", "general", id_field="doc_id", min_chars=300, max_chars=5000, score_field="score", min_score=0.4, excluded_flags=("toxic",))
+
+
+@query(rf"WITH j AS (SELECT d.doc_id, regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS t, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT 'doc-' || sha256('corpus-x' || chr(0) || 'corpus-x:' || doc_id) AS document_id, length(t)::BIGINT AS n FROM j WHERE coalesce(toxic, 0) = 0 AND coalesce(quality, -1) >= 0.4 AND length(t) BETWEEN 300 AND 5000")
+def source_acceptance(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("score"), (F.col("toxic") == 1).alias("toxic"))
+    rows = readers.accepted(table(spark, sf_dir, "documents").join(lab, "doc_id", "left"), _SOURCE)
+    return readers.to_documents(rows.withColumn("text", F.col("accepted_text")), _SOURCE).select("document_id", F.length("text").cast("long").alias("n"))
+
+
+@query("WITH r AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT source, min(CASE WHEN length(text) >= 3000 THEN k END) AS position FROM r WHERE k <= 20 GROUP BY source")
+def first_accepted(spark, sf_dir):
+    return readers.first_accepted(table(spark, sf_dir, "documents"), "source", ["doc_id"], F.length("text") >= 3000, 20).withColumn("position", F.col("position").cast("long"))
+
+
+@query()
+def small_pipeline(spark, sf_dir):
+    return pipelines.small_pipeline(documents(spark, sf_dir))
+
+
+@query()
+def large_pipeline(spark, sf_dir):
+    return pipelines.large_pipeline(documents(spark, sf_dir))
