@@ -4,8 +4,10 @@ The first block of each document is its prefix in an order of all n-grams, long
 share a column in it. Overlaps are accumulated in that block alone; pairs that the sizes and the accumulated overlap
 rule out are discarded, and the other columns are multiplied only for the pairs that stay.
 
-Order of the columns: those of a fixed region of hash values that few documents hold, then those of the region that
-many hold, then the rest, each by hash. So a very common n-gram enters a prefix only when a document has no rarer ones.
+Columns are counted in a fixed region of hash values. Order of the columns: those of the region that few documents hold,
+then all outside it, then those of the region that many hold, each by hash. So a very common n-gram enters a prefix only
+where a document has no rarer ones. A document sends some columns beyond the region; where they don't suffice ("over"),
+its pairs are found by the order in which the common ones come before those outside instead.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from corpusloom.llm.wordhash import grams, hash_words, mix, steps
 
 #: Documents in which an n-gram of the region counts as common.
 COMMON = 48
+#: Columns beyond the prefix that a document sends, to stand in for common ones.
+EXTRA = 12
 #: Sets that a task remembers, so as to send the postings of copies once; beyond them it sends some again, which is harmless.
 _REMEMBERED = 200_000
+#: Shingles of whole sets that a task holds while it compares pairs.
+_HELD_SHINGLES = 1_000_000
 _TOP = np.uint64(1 << 63)
 
 
@@ -73,7 +79,7 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str, text_col: str)
                 c1.append(int.from_bytes(digest[:8], "big", signed=True))
                 c2.append(int.from_bytes(digest[8:], "big", signed=True))
                 null.append(n == 0 or digest in seen)
-                sent = own[:0] if null[-1] else own[: max(m, prefix_length(n, percent))]
+                sent = own[:0] if null[-1] else own[: max(m, min(n, prefix_length(n, percent) + EXTRA))]
                 if len(seen) < _REMEMBERED:
                     seen.add(digest)
                 sizes.append(len(sent))
@@ -87,7 +93,7 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str, text_col: str)
 
 
 def prefixes(sig: DataFrame, emitters: DataFrame, percent: int) -> DataFrame:
-    """(x, node, n): the columns of each class's prefix that two documents or more hold."""
+    """(x, node, n, late, over): the columns of each class's prefix that two documents or more hold. late: a common one, which only pairs with an `over` document need."""
     edge = int(min(int(region(percent) * 2**64), 2**64 - 1)) - 2**63
     postings = sig.where(F.col("xs").isNotNull() & F.col("doc").isNotNull()).select("doc", F.posexplode("xs").alias("r", "x"))
     shared = postings.groupBy("x").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("x", (F.col("docs") > COMMON).alias("common"))
@@ -95,9 +101,11 @@ def prefixes(sig: DataFrame, emitters: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("node")
     before = F.sum(F.col("common").cast("int")).over(own.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     hits = hits.select("x", "node", "n", "m", "r", "common", before.alias("before"), F.sum(F.col("common").cast("int")).over(own).alias("commons"))
-    place = F.when(F.col("common"), F.col("m") - F.col("commons") + F.col("before") - 1).when(F.col("r") < F.col("m"), F.col("r") - F.col("before")).otherwise(F.col("r"))
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / F.lit(100)) + 1
-    return hits.where(place < length).select("x", "node", "n")
+    rare = F.when(F.col("r") < F.col("m"), F.col("r") - F.col("before")).otherwise(F.col("r") - F.col("commons"))
+    place = F.when(F.col("common"), F.col("m") - F.col("commons") + F.col("before") - 1).otherwise(rare)
+    sent = F.greatest(F.col("m"), F.least(F.col("n"), length + EXTRA))
+    return hits.where(place < length).select("x", "node", "n", F.col("common").alias("late"), (sent - F.col("commons") < length).alias("over"))
 
 
 def _near_in_size(a, b, percent: int):
@@ -105,32 +113,37 @@ def _near_in_size(a, b, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets are as similar as asked."""
+    """(a, b, similarity, linked) of each pair: of the whole sets."""
 
     def run(parts):
         unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, frozenset] = {}
+        size = 0
 
-        def shingles(node: int, blob: bytes) -> np.ndarray:
+        def shingles(node: int, blob: bytes) -> frozenset:
+            nonlocal size
             if (got := held.get(node)) is None:
-                if len(held) >= 64:
+                if size > _HELD_SHINGLES:
                     held.clear()
-                got = held[node] = next(shingle_sets(pa.array([unpack(blob).decode()]), k))
+                    size = 0
+                got = held[node] = frozenset(next(shingle_sets(pa.array([unpack(blob).decode()]), k)).tolist())
+                size += len(got)
             return got
 
         for batch in parts:
             a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            keep = []
+            similarity, linked = [], []
             for i in range(batch.num_rows):
                 p, q = shingles(a[i], left[i]), shingles(b[i], right[i])
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int32())) for i in (0, 1)], ["a", "b"])
+                both = len(p & q)
+                all_ = len(p) + len(q) - both
+                similarity.append(both / max(1, all_))
+                linked.append(both > 0 and 100 * both >= percent * all_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "similarity", "linked"])
 
     left = sets.select(F.col("node").alias("a"), F.col("blob").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("blob").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, similarity double, linked boolean")
 
 
 def _with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -155,26 +168,35 @@ def links_of(prefix: DataFrame, sets: DataFrame, k: int, percent: int, rounds: i
     found: DataFrame | None = None
     tried: DataFrame | None = None
     for turn in range(rounds):
-        rows = _with_components(prefix, found)
+        rows = _with_components(prefix.where("over OR NOT late"), found)
         rows = rows if found is None else _open_columns(stored(rows, "open"))
         key = F.struct("n", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node"), "n", "node", "comp")
-        pivot = rows.groupBy("x").agg(F.min(key).alias("p")).select("x", F.col("p.node").alias("a"), F.col("p.n").alias("an"), F.col("p.comp").alias("ac"))
-        pairs = rows.join(pivot, "x").where((F.col("ac") != F.col("comp")) & _near_in_size(F.col("n"), F.col("an"), percent)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = stored(verified(pairs, sets, k, percent), "links")
-        found = links if found is None else found.unionByName(links)
-    rows = _open_columns(stored(_with_components(prefix, found), "open"))
-    a = rows.select("x", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "comp")))
-    b = rows.select("x", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "comp")))
-    both = a.join(b, "x").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & _near_in_size(F.col("a_n"), F.col("b_n"), percent))
+        pivot = rows.groupBy("x").agg(F.min(key).alias("p")).select("x", F.col("p.node").alias("pivot"), F.col("p.n").alias("an"), F.col("p.comp").alias("ac"))
+        pairs = rows.join(pivot, "x").where((F.col("ac") != F.col("comp")) & _near_in_size(F.col("n"), F.col("an"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        if tried is not None:
+            seen = tried.select("a", "b").union(tried.select("b", "a")).distinct()
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        new = stored(verified(stored(pairs, "pairs"), sets, k, percent), "links")
+        tried = new if tried is None else tried.unionByName(new)
+        found = tried.where("linked").select("a", "b")
+    # Jaccard distance is a metric: of two documents whose distances from one pivot differ by more than a link's, none links
+    beside = tried.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("similarity", "a")).alias("s")).select("node", F.col("s.a").alias("pivot"), F.col("s.similarity").alias("sim"))
+    rows = _open_columns(stored(_with_components(prefix, found), "open")).join(beside, "node", "left")
+    columns = ("node", "n", "comp", "over", "pivot", "sim")
+    a = rows.select("x", "late", *(F.col(c).alias(f"a_{c}") for c in columns))
+    b = rows.select("x", *(F.col(c).alias(f"b_{c}") for c in columns))
+    far = F.coalesce((F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_sim") - F.col("b_sim")) > 1 - percent / 100 + 1e-9), F.lit(False))
+    needs = ~F.col("late") | F.col("a_over") | F.col("b_over")
+    both = a.join(b, "x").where((F.col("a_node") < F.col("b_node")) & (F.col("a_comp") != F.col("b_comp")) & needs & ~far & _near_in_size(F.col("a_n"), F.col("b_n"), percent))
     # the overlap in the first block, and what the columns after the shorter prefix can add at most
     overlap = both.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"))
     length = lambda n: n - F.floor((n * percent + 99) / F.lit(100)) + 1
     most = F.col("shared") + F.least(F.col("a_n") - 1, F.col("b_n") - 1, F.greatest(F.col("a_n") - length(F.col("a_n")), F.col("b_n") - length(F.col("b_n"))))
     needed = (percent * (F.col("a_n") + F.col("b_n"))) / F.lit(100.0 + percent)
-    rest = stored(overlap.where(most >= needed - 1e-6).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(stored(verified(rest, sets, k, percent), "links"))
+    seen = tried.select("a", "b").union(tried.select("b", "a")).distinct()
+    rest = stored(overlap.where(most >= needed - 1e-6).select("a", "b").join(seen, ["a", "b"], "left_anti"), "pairs")
+    last = stored(verified(rest, sets, k, percent), "links").where("linked").select("a", "b")
+    return found.unionByName(last)
 
 
 def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
