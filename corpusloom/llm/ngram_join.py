@@ -93,19 +93,19 @@ def signatures(df: DataFrame, k: int, percent: int, id_col: str, text_col: str)
 
 
 def prefixes(sig: DataFrame, emitters: DataFrame, percent: int) -> DataFrame:
-    """(x, node, n, late, over): the columns of each class's prefix that two documents or more hold. late: a common one, which only pairs with an `over` document need."""
+    """(x, node, n, late, over, core): the columns of each class's prefix that two documents or more hold. late: a common one, which only pairs with an `over` document need. core: the share of a document's columns that others hold too; that of the text a family of copies stems from is the highest."""
     edge = int(min(int(region(percent) * 2**64), 2**64 - 1)) - 2**63
     postings = sig.where(F.col("xs").isNotNull() & F.col("doc").isNotNull()).select("doc", F.posexplode("xs").alias("r", "x"))
     shared = postings.groupBy("x").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1").select("x", (F.col("docs") > COMMON).alias("common"))
     hits = postings.join(shared, "x").join(emitters, "doc").select("x", "node", "n", "m", "r", (F.col("common") & (F.col("x") < edge)).alias("common"))
     own = Window.partitionBy("node")
     before = F.sum(F.col("common").cast("int")).over(own.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    hits = hits.select("x", "node", "n", "m", "r", "common", before.alias("before"), F.sum(F.col("common").cast("int")).over(own).alias("commons"))
+    hits = hits.select("x", "node", "n", "m", "r", "common", before.alias("before"), F.sum(F.col("common").cast("int")).over(own).alias("commons"), F.count(F.lit(1)).over(own).alias("shared"))
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / F.lit(100)) + 1
     rare = F.when(F.col("r") < F.col("m"), F.col("r") - F.col("before")).otherwise(F.col("r") - F.col("commons"))
     place = F.when(F.col("common"), F.col("m") - F.col("commons") + F.col("before") - 1).otherwise(rare)
     sent = F.greatest(F.col("m"), F.least(F.col("n"), length + EXTRA))
-    return hits.where(place < length).select("x", "node", "n", F.col("common").alias("late"), (sent - F.col("commons") < length).alias("over"))
+    return hits.where(place < length).select("x", "node", "n", F.col("common").alias("late"), (sent - F.col("commons") < length).alias("over"), (F.col("shared") / sent).alias("core"))
 
 
 def _near_in_size(a, b, percent: int):
@@ -170,7 +170,7 @@ def links_of(prefix: DataFrame, sets: DataFrame, k: int, percent: int, rounds: i
     for turn in range(rounds):
         rows = _with_components(prefix.where("over OR NOT late"), found)
         rows = rows if found is None else _open_columns(stored(rows, "open"))
-        key = F.struct("n", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node"), "n", "node", "comp")
+        key = F.struct(-F.col("core"), "n", "node", "comp") if turn == 0 else F.struct(F.xxhash64("node"), "n", "node", "comp")
         pivot = rows.groupBy("x").agg(F.min(key).alias("p")).select("x", F.col("p.node").alias("pivot"), F.col("p.n").alias("an"), F.col("p.comp").alias("ac"))
         pairs = rows.join(pivot, "x").where((F.col("ac") != F.col("comp")) & _near_in_size(F.col("n"), F.col("an"), percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         if tried is not None:
