@@ -119,8 +119,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     """(key, h, code, id, row, pos): the entries of keys that two different lines or more share, with the first place of each line."""
-    length = F.length("line")
-    entries = lines.where(length >= LEAST_CHARS).select("h", F.explode(keys(F.col("line"), length, edits)).alias("k")).select("h", F.col("k.code").alias("code"), F.col("k.key").alias("key"))
+    # the length is a column of its own: inside the keys' branches it would be counted again for each use
+    sized = lines.select("h", "line", F.length("line").alias("length")).where(F.col("length") >= LEAST_CHARS)
+    entries = sized.select("h", F.explode(keys(F.col("line"), F.col("length"), edits)).alias("k")).select("h", F.col("k.code").alias("code"), F.col("k.key").alias("key"))
     # equal lines meet map-side, so that a very common line is a row a key and task
     shared = entries.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.min("code").alias("index")).where((F.col("least") != F.col("most")) & (F.col("index") <= edits)).select("key")
     return entries.join(shared, "key").groupBy("key", "h", "code").agg(F.count(F.lit(1)).alias("n")).drop("n").join(first, "h")
@@ -132,7 +133,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, edits: int)
     entries = stored(_candidates(lines, first, edits), "entries")
     # the texts of those lines, from the one document in which each is first
     wanted = entries.select("h", "row", "pos").distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    found = docs.select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("l"), F.explode("at").alias("x")).select(F.col("x.h").alias("h"), F.get("l", F.col("x.pos")).alias("line"))
+    # a merge join at every size: the wanted places are as many as the corpus makes them
+    found = docs.select("row", "text").join(wanted.hint("merge"), "row").select(F.split("text", "\n").alias("l"), F.explode("at").alias("x")).select(F.col("x.h").alias("h"), F.get("l", F.col("x.pos")).alias("line"))
     text = stored(found.dropDuplicates(["h"]), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -145,8 +147,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, edits: int)
     star = entries.join(lead, "key").where((F.col("p.h") != F.col("h")) & (own | (F.col("p.code") <= edits))).select(F.col("p.h").alias("early"), F.col("h").alias("late")).distinct()
     settled = stored(verified(stored(star, "star")), "settled")
     # then those left with every earlier line of the key, on the keys of what remains beside the shared segment
-    rest = entries.join(text, "h").withColumn("left", remainder(F.col("line"), F.length("line"), F.col("code"), edits)).withColumn("own", own)
-    fine = rest.select("key", "h", "own", at.alias("at"), F.explode(keys(F.col("left"), F.length("left"), edits, (F.col("key"),))).alias("k")).select(F.col("k.key").alias("key"), "h", "at", "own", (F.col("k.code") <= edits).alias("sub")).distinct()
+    sized = entries.join(text, "h").withColumn("length", F.length("line"))
+    rest = sized.select("key", "h", own.alias("own"), at.alias("at"), remainder(F.col("line"), F.col("length"), F.col("code"), edits).alias("left")).withColumn("length", F.length("left"))
+    fine = rest.select("key", "h", "own", "at", F.explode(keys(F.col("left"), F.col("length"), edits, (F.col("key"),))).alias("k")).select(F.col("k.key").alias("key"), "h", "at", "own", (F.col("k.code") <= edits).alias("sub")).distinct()
     fine = stored(fine, "fine")
     late = fine.join(settled.withColumnRenamed("late", "h"), "h", "left_anti").select("key", F.col("h").alias("late"), F.col("at").alias("late_at"), F.col("own").alias("own_l"), F.col("sub").alias("sub_l"))
     early = fine.select("key", F.col("h").alias("early"), F.col("at").alias("early_at"), F.col("own").alias("own_e"), F.col("sub").alias("sub_e"))
