@@ -553,7 +553,7 @@ def percentiles(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    return M.bootstrap(_metric_rows(spark, sf_dir), "characters", "tokens", "source_id", 100)
+    return M.bootstrap(_metric_rows(spark, sf_dir), "characters", "tokens", "source_id", 2000)
 
 
 @query(f"WITH {_METRICS} SELECT 'language' AS dimension, language AS value, count(*) AS documents, sum(tokens)::BIGINT AS tokens FROM met GROUP BY ALL UNION ALL SELECT 'content_type', content_type, count(*), sum(tokens)::BIGINT FROM met GROUP BY ALL UNION ALL SELECT 'source_id', source_id, count(*), sum(tokens)::BIGINT FROM met GROUP BY ALL")

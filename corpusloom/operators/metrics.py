@@ -39,17 +39,47 @@ def percentiles(df: DataFrame, value: Column, by: list[str] | None = None, at: t
     return out.select(*(by or []), *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{round(100 * x):02d}") for k, x in enumerate(at)))
 
 
-def bootstrap(df: DataFrame, numerator: str, denominator: str, stratum: str, resamples: int = 200, seed: str = "bootstrap") -> DataFrame:
+#: Documents of a stratum that bootstrap() holds in an array.
+BLOCK = 4096
+
+
+def _ranks(df: DataFrame, stratum: str, order: list[str], block: int) -> DataFrame:
+    """df with rank (from 0) and size of the stratum. Ranks are counted in parts by the hash of the first order column, so that no stratum meets in a task."""
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")).withColumnRenamed(stratum, "_s")
+    parted = df.join(sizes, df[stratum].eqNullSafe(F.col("_s"))).drop("_s").withColumn("_p", F.pmod(F.xxhash64(order[0]), F.floor(F.col("size") / block) + 1))
+    before = Window.partitionBy(stratum).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parted.groupBy(stratum, "_p").agg(F.count(F.lit(1)).alias("_n")).select(F.col(stratum).alias("_s"), F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    joined = parted.join(parts, parted[stratum].eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    own = F.row_number().over(Window.partitionBy(stratum, "_p").orderBy(*order)) - 1
+    return joined.withColumn("rank", F.col("_b") + own).drop("_s", "_p", "_q", "_b")
+
+
+def bootstrap(df: DataFrame, numerator: str, denominator: str, stratum: str, resamples: int = 2000, seed: str = "bootstrap", block: int = BLOCK) -> DataFrame:
     """(low, high): the 2.5 and 97.5 percentiles of the ratio of sums over resamples within strata.
 
-    Each document takes a Poisson(1) number of places in each resample, drawn from a hash of its id: it needs no
-    collected stratum and is the same at every partitioning.
+    A resample draws from each stratum as many documents as it has, with replacement. A hash of the resample and of the
+    number of the draw names a block of the stratum, then one of the resample and of the number in the block names a
+    document there: no stratum is collected, draws are not shuffled, and the result is the same at every partitioning.
     """
-    draws = df.select(stratum, numerator, denominator, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"), F.col("document_id"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("resample").cast("string"), "document_id"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    sums = draws.withColumn("n", times).groupBy("resample").agg((F.sum(F.col("n") * F.col(numerator)) / F.sum(F.col("n") * F.col(denominator))).alias("ratio"))
+    rows = df.select(F.col(stratum).alias("s"), F.col("document_id").cast("string").alias("d"), F.col(numerator).cast("double").alias("x"), F.col(denominator).cast("double").alias("y"))
+    ranked = _ranks(rows, "s", ["d", "x", "y"], block).withColumn("key", F.xxhash64(F.lit(seed), "s"))
+    # block k has the ranks from k * block; a draw falls into it in proportion to its documents
+    hit = F.floor(F.pmod(F.xxhash64("key", "resample", "rank"), F.col("size")) / block)
+    draws = ranked.select("s", "key", "rank", "size", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    counts = draws.groupBy("s", "key", hit.alias("block"), "resample").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counts = counts.groupBy("s", "key", "block").agg(F.collect_list(F.struct("resample", "n")).alias("counts")).withColumnRenamed("s", "t")
+    held = ranked.groupBy("s", F.floor(F.col("rank") / block).alias("of")).agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y"))).alias("held"))
+
+    def drawn(c: Column) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            one = F.get("held", F.pmod(F.xxhash64("key", "block", c["resample"], k), F.size("held")).cast("int"))
+            return F.struct((acc["x"] + one["x"]).alias("x"), (acc["y"] + one["y"]).alias("y"))
+
+        none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        return F.struct(c["resample"].alias("resample"), F.aggregate(F.sequence(F.lit(1), c["n"]), none, add).alias("of"))
+
+    met = counts.join(held, F.col("t").eqNullSafe(F.col("s")) & (F.col("block") == F.col("of")))
+    sums = met.select(F.explode(F.transform("counts", drawn)).alias("r")).groupBy("r.resample").agg((F.sum("r.of.x") / F.sum("r.of.y")).alias("ratio"))
     return sums.agg(F.percentile("ratio", [0.025, 0.975]).alias("p")).select(F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
 
 

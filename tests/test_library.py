@@ -3,8 +3,11 @@
 import hashlib
 import io
 import json
+import math
+import random
 import tarfile
 import unicodedata
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +226,31 @@ def test_retries():
         return 7
 
     assert ingest.with_retries(action, sleep=waits.append) == 7 and waits == [5.0, 10.0]
+
+
+def stratified_interval(rows, resamples, rnd):
+    groups = defaultdict(list)
+    for _, s, x, y in rows:
+        groups[s].append((x, y))
+    ratios = []
+    for _ in range(resamples):
+        drawn = [p for g in groups.values() for p in rnd.choices(g, k=len(g))]
+        ratios.append(sum(x for x, _ in drawn) / sum(y for _, y in drawn))
+    ratios.sort()
+    at = lambda q: (lambda p: ratios[math.floor(p)] * (1 - p % 1) + ratios[math.ceil(p)] * (p % 1))(q * (resamples - 1))
+    return at(0.025), at(0.975)
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_bootstrap_within_strata(spark, block):
+    rnd = random.Random(12)
+    rows = [(f"d{i:04}", s, rnd.randint(90, 110) * level, 100) for i, (s, level) in enumerate([("hot", 1)] * 300 + [("rare", 9)] * 40 + [("one", 50), (None, 20)])]
+    schema = "document_id string, source_id string, characters long, tokens long"
+    got = M.bootstrap(spark.createDataFrame(rows, schema), "characters", "tokens", "source_id", 2000, block=block).first()
+    low, high = stratified_interval(rows, 2000, random.Random(13))
+    assert abs(got["low"] - low) < 0.1 * (high - low) and abs(got["high"] - high) < 0.1 * (high - low)
+    # equal documents in each source: every resample has the same sums
+    even = [(i, s, {"hot": 100, "rare": 900}.get(s, 5000), 100) for i, s, _, _ in rows]
+    got = M.bootstrap(spark.createDataFrame(even, schema), "characters", "tokens", "source_id", 50, block=block).first()
+    assert got["low"] == got["high"] == sum(r[2] for r in even) / sum(r[3] for r in even)
+    assert M.bootstrap(spark.createDataFrame([], schema), "characters", "tokens", "source_id", 5, block=block).first()["low"] is None
