@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bound, stored, table
 
-EDITS = 1
+EDITS = 2
+#: What ORACLE_SQL compares by; op5_line_dedup is held to its rows.
+SQL_EDITS = 1
 #: Shorter lines are compared for equality only: an edit in few characters is another line.
 LEAST_CHARS = 24
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -199,7 +201,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), edits=SQL_EDITS)
 
 
 ORACLE_SQL = f"""

@@ -111,3 +111,11 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_lines_of_two_edits(spark):
+    line = "the invoice of 12 March names a sum of 4711 crowns and is due in thirty days"
+    rows = [(1, line + "\nfirst"), (2, line.replace("12", "13").replace("4711", "4712") + "\nsecond"), (3, line.replace("12", "27").replace("4711", "9999") + "\nthird")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert out == {1: rows[0][1], 2: "second", 3: rows[2][1]}
