@@ -173,16 +173,22 @@ def repeated_masks(marked: DataFrame, docs: DataFrame, width: int) -> tuple[Data
     segs = marked.select("row", F.explode("segs").alias("x")).select("row", "x.h", "x.s", "x.start", "x.k", "x.c")
     shared = segs.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
     hits = stored(segs.drop("c").join(shared, "h"), "hits")
-    different = hits.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "k")).alias("at")).select("h", "s", "n", "at.*")
+    different = hits.groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "k")).alias("at"), F.max(F.struct("row", "start", "k")).alias("last")).select("h", "s", "n", "at.*", "last")
     different = stored(different, "segments")
     hot = different.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_SEGMENTS).select("h")
     active = stored(_packed(docs).join(hits.select("row").distinct(), "row", "left_semi"), "active")
     copies = F.least("n", F.lit(2)).cast("int").alias("copies")
     plain = different.join(hot, "h", "left_anti").select("row", F.col("h").alias("key"), F.col("h").alias("id1"), F.col("s").alias("id2"), copies, "start", "k")
     masks = stored(search_shards(_cut(active, plain, width), width), "masks")
-    # windows of hot minimizers: each by its own hash; only those that occur twice by hash are cut and searched
-    loose = stored(_windows(active, different.join(hot, "h", "left_semi"), width), "windows")
-    again = loose.groupBy("w").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at")).alias("p")).where("n > 1").select("p.row", F.col("w").alias("key"), F.col("w").alias("id1"), F.lit(0).cast("long").alias("id2"), copies, F.col("p.at").alias("start"), F.lit(1).alias("k"))
+    # windows of hot minimizers: of those that occur twice by hash, two places are cut, each as one copy, so that the search decides
+    spots = F.array_distinct(F.array(F.struct("row", "start", "k"), "last"))
+    twofold = different.join(hot, "h", "left_semi").select("h", "s", "n", F.explode(spots).alias("at"), F.size(spots).alias("spots"))
+    loose = stored(_windows(active, twofold.select("h", "s", F.when(F.col("spots") == 1, F.col("n")).otherwise(1).alias("n"), "at.*"), width), "windows")
+    place = F.struct("row", "at")
+    ends = loose.groupBy("w").agg(F.sum("n").alias("n"), F.min(place).alias("p"), F.max(place).alias("q")).where("n > 1")
+    # only where equal rows are one place is it two copies
+    places = ends.select("w", F.when(F.col("p") == F.col("q"), 2).otherwise(1).alias("copies"), F.explode(F.array_distinct(F.array("p", "q"))).alias("p"))
+    again = places.select("p.row", F.col("w").alias("key"), F.col("w").alias("id1"), F.lit(0).cast("long").alias("id2"), F.col("copies").cast("int").alias("copies"), F.col("p.at").alias("start"), F.lit(1).alias("k"))
     twice = search_shards(_cut(active, again, width), width).where("mask <> 0").select(F.col("id1").alias("w")).distinct()
     from_hot = loose.join(twice, "w").groupBy("h", "s").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("mask"))
     every = masks.select(F.col("id1").alias("h"), F.col("id2").alias("s"), "mask").unionByName(from_hot)

@@ -81,6 +81,20 @@ def test_substring_dedup(docs, monkeypatch, width, hot):
     assert any(r[2] for r in got)
 
 
+def test_hot_windows_are_searched(docs_of, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", 0)
+    asked = []
+    cut = substring._cut
+    monkeypatch.setattr(substring, "_cut", lambda active, pieces, width: asked.append(pieces) or cut(active, pieces, width))
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "one two " + passage, "en", "a"), (2, "three " + passage + " four five", "en", "a"), (3, "six", "en", "a")]
+    got = table_of(substring.substring_dedup(docs_of(rows), 12), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == substring_brute(rows, 12)
+    # no window goes to the index as two copies of one place where it stands in two
+    places = Counter(r["id1"] for r in asked[-1].select("id1", "row", "start").distinct().collect())
+    assert places and all(r["copies"] == 1 and places[r["id1"]] == 2 for r in asked[-1].collect())
+
+
 def test_substring_dedup_empty_and_text(empty, docs):
     assert substring.substring_dedup(empty).count() == 0
     r = substring.substring_dedup(docs, with_text=True).where("n_removed > 0").head()
@@ -211,6 +225,7 @@ def test_mixing_meets_the_margins(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
 
