@@ -38,27 +38,40 @@ def cells(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
 
 
-def raked(cell: DataFrame, flattening: dict[str, float] = FLATTENING, sweeps: int = SWEEPS) -> DataFrame:
-    """cells with share: the observed shares fitted to the targets of each dimension in turn, sweeps times."""
+def _wanted(d: str, given: dict[str | None, float]) -> Column:
+    parts = [F.lit(x) for c, w in given.items() for x in (NONE if c is None else c, float(w))]
+    return F.coalesce(F.try_element_at(F.create_map(*parts), F.col(d)), F.lit(0.0))
+
+
+def raked(cell: DataFrame, flattening: dict[str, float] = FLATTENING, sweeps: int = SWEEPS, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
+    """cells with share: the observed shares fitted to the targets of each dimension in turn, sweeps times.
+
+    targets has the weights of a dimension's categories (None: the null one), in place of flattened observed shares.
+    They are scaled to sum to 1 over the categories there are; those it doesn't name get nothing.
+    """
+    targets = targets or {}
     total = Window.partitionBy
     out = cell.withColumn("all", F.sum("tokens").over(total(F.lit(0)))).withColumn("share", F.col("tokens") / F.col("all"))
     for d in DIMENSIONS:
         part = total(d)
         # each cell carries its part of the category's powered share, so that the sum over cells is the sum over categories
-        out = out.withColumn(f"size_{d}", F.sum("share").over(part)).withColumn(f"power_{d}", F.pow(f"size_{d}", F.lit(flattening[d])))
+        out = out.withColumn(f"size_{d}", F.sum("share").over(part)).withColumn(f"power_{d}", _wanted(d, targets[d]) if d in targets else F.pow(f"size_{d}", F.lit(flattening[d])))
         out = out.withColumn(f"norm_{d}", F.sum(F.col(f"power_{d}") * F.col("share") / F.col(f"size_{d}")).over(total(F.lit(0)))).withColumn(f"target_{d}", F.col(f"power_{d}") / F.col(f"norm_{d}"))
     out = out.select(*DIMENSIONS, "tokens", "all", "share", *(f"target_{d}" for d in DIMENSIONS))
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            out = out.withColumn("share", F.col("share") * F.col(f"target_{d}") / F.sum("share").over(total(d)))
+            fit = F.col("share") * F.col(f"target_{d}")
+            own = F.sum("share").over(total(d))
+            # a category can be left with nothing only where targets are given
+            out = out.withColumn("share", F.coalesce(F.try_divide(fit, own), F.lit(0.0)) if targets else fit / own)
     return out
 
 
-def probabilities(docs: DataFrame, flattening: dict[str, float] = FLATTENING, budget: float = BUDGET, sweeps: int = SWEEPS) -> tuple[DataFrame, bool]:
+def probabilities(docs: DataFrame, flattening: dict[str, float] = FLATTENING, budget: float = BUDGET, sweeps: int = SWEEPS, targets: dict[str, dict[str | None, float]] | None = None) -> tuple[DataFrame, bool]:
     """(source, lang, topic, weight) and whether the table is small. weight: the probability at which a document of the cell is kept."""
     cell = stored(cells(docs), "cells")
     small = cell.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
-    fitted = raked(cell.coalesce(1) if small else cell, flattening, sweeps)
+    fitted = raked(cell.coalesce(1) if small else cell, flattening, sweeps, targets)
     return stored(fitted.select(*DIMENSIONS, F.least(F.lit(1.0), budget * F.col("share") * F.col("all") / F.col("tokens")).alias("weight")), "weights"), small
 
 
@@ -67,10 +80,10 @@ def draw(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, flattening: dict[str, float] = FLATTENING, budget: float = BUDGET, keep: list[str] | None = None) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, flattening: dict[str, float] = FLATTENING, budget: float = BUDGET, keep: list[str] | None = None, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, sampled[, kept columns]) of each row.
 
-    Token weights are raked to the targets of source, lang and topic; weight is what a cell's documents are sampled by,
+    Token weights are raked to the targets of source, lang and topic (given, or else observed shares to a power); weight is what a cell's documents are sampled by,
     1 at most. Null categories are categories of their own, and null texts count as empty: one token. Repeated rows
     count each, and rows with one id share their fate. An empty table gives no rows.
     """
@@ -79,7 +92,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic:
     known = lambda c: F.coalesce(c, F.lit(NONE))
     # kept columns under other names, so that none of them clashes
     rows = df.select(F.col(id_col).alias("id"), known(F.col("source")).alias("source"), known(F.col("lang")).alias("lang"), known(topic).alias("topic"), estimated_tokens(text).alias("n_tokens"), *(F.col(c).alias(f"kept_{c}") for c in keep or []))
-    weights, small = probabilities(rows, flattening, budget)
+    weights, small = probabilities(rows, flattening, budget, targets=targets)
     joined = rows.join(F.broadcast(weights) if small else weights, list(DIMENSIONS))
     plain = lambda c: F.when(F.col(c) != NONE, F.col(c)).alias(c)
     return joined.select(F.col("id").alias(id_col), *(plain(d) for d in DIMENSIONS), "n_tokens", F.round("weight", 6).alias("weight"), (draw(F.col("id")) < F.col("weight")).alias("sampled"), *(F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep or []))

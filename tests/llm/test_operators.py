@@ -225,6 +225,18 @@ def test_mixing_meets_the_margins(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_to_given_targets(docs_of):
+    rows = [(i, "ab " * (100 + i), "en" if i % 3 else "de", "abc"[i % 4 % 3]) for i in range(80)]
+    targets = {"source": {"a": 1, "b": 2, "c": 1}, "lang": {"en": 3}}
+    got = mixing.mixed(docs_of(rows), budget=0.1, targets=targets).collect()
+    share = Counter()
+    for r in got:
+        share[r["source"]] += r["weight"] * r["n_tokens"]
+        assert r["weight"] < 1 and (r["weight"] > 0) == (r["lang"] == "en")
+    total = sum(share.values())
+    assert math.isclose(total, 0.1 * sum(r["n_tokens"] for r in got), rel_tol=1e-3)
+    assert all(math.isclose(share[c] / total, w / 4, abs_tol=1e-3) for c, w in targets["source"].items())
+
 
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
