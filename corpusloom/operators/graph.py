@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.storage import stored
+from corpusloom.storage import discard, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def connected(links: DataFrame) -> DataFrame:
         least = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = stored(least.join(jump, "comp").select("node", "old", F.least("comp", "next").alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        discard(labels)
+        labels = new
         if new.where("old <> comp").isEmpty():
-            return labels
+            discard(both)
+            return new.select("node", "comp")
