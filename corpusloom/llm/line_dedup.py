@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound, stored, table
+from corpusloom.llm.common import bound, table
+from corpusloom.storage import stored
 
 EDITS = 2
 #: What ORACLE_SQL compares by; op5_line_dedup is held to its rows.

@@ -452,12 +452,55 @@ def components_brute(rows, k, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("k", "percent", "common", "extra"), [(4, 85, 48, 12), (5, 80, 3, 0), (3, 60, 2, 4), (4, 85, 1, 0)])
-def test_ngram_components(docs, monkeypatch, k, percent, common, extra):
+def family_rows(seed, n, ids=None):
+    """Edited copies of a few texts. With ids, several texts of different families share one."""
+    rnd = random.Random(seed)
+    bases = [[rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 50)) for _ in range(rnd.randint(5, 120))] for _ in range(n // 4)]
+    out = []
+    for i in range(n):
+        words = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 4)):
+            words[rnd.randrange(len(words))] = f"e{rnd.randint(0, 9)}"
+        out.append((rnd.randint(0, ids) if ids else i, " ".join(words), "en", "a"))
+    return out
+
+
+@pytest.mark.parametrize(("k", "percent", "common", "tile"), [(4, 85, 24, 1024), (5, 80, 0, 8), (4, 85, 2, 8)])
+@pytest.mark.parametrize("rows", [corpus(), family_rows(1, 240), family_rows(2, 240, 401), family_rows(3, 240, 151)], ids=["odd", "unique", "some ids repeat", "most ids repeat"])
+def test_ngram_components(docs_of, monkeypatch, rows, k, percent, common, tile):
     monkeypatch.setattr(ngram_join, "COMMON", common)
-    monkeypatch.setattr(ngram_join, "EXTRA", extra)
-    got = table_of(ngram_join.ngram_components(docs, k, percent), "doc_id", "n_shingles", "component_id")
-    assert got == components_brute(corpus(), k, percent)
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", tile)
+    got = table_of(ngram_join.ngram_components(docs_of(rows), k, percent), "doc_id", "n_shingles", "component_id")
+    assert got == components_brute(rows, k, percent)
+
+
+def test_overlaps_against_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        rows = [np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(int(rng.integers(1, 40)))]
+        want = [[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(rows)] for i, a in enumerate(rows)]
+        assert ngram_join.overlaps(rows).tolist() == want
+
+
+def test_a_large_family_puts_out_no_pairs(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", 16)
+    counts = []
+    keep = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: counts.append((name, (out := keep(df, name)).count())) or out)
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rnd.random() > 0.01 else f"x{rnd.randint(0, 99)}" for w in base), "en", "a") for i in range(150)]
+    got = table_of(ngram_join.ngram_components(docs_of(rows), 4, 85), "doc_id", "n_shingles", "component_id")
+    assert got == components_brute(rows, 4, 85)
+    assert max(n for name, n in counts if name == "found") < 2 * len(rows)
+
+
+def test_one_of_each_with_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c d e f", 7, "x"), (1, "g h i", 8, "y"), (2, "a b c d e f", 9, "z"), (None, "a b c d e f", 1, "n"), (3, None, 2, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own long, _id string").withColumn("place", F.lit(0)).withColumn("OWN_", F.lit(1)).withColumn("component_id", F.lit(5))
+    out = ngram_join.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"], r["own"]) for r in out.collect()), key=repr) == sorted([(1, "a b c d e f", 7), (None, "a b c d e f", 1), (3, None, 2)], key=repr)
 
 
 def test_one_of_each(docs, empty):
