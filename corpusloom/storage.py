@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_recording: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("recording", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset: one of our own on a local master, an error on a cluster."""
@@ -26,6 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _recording.get()) is not None:
+        paths.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
@@ -34,6 +41,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what stored() has written for these tables. For steps that are done: nothing may read the tables later."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, df._stored_path
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(df.sparkSession, df._stored_path)
+    if tables:
+        # shuffle files go when Spark's cleaner finds that no plan refers to them, which otherwise may take half an hour
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Within it, stored() notes in paths where it has written."""
+    token = _recording.set(paths)
+    try:
+        yield
+    finally:
+        _recording.reset(token)
