@@ -3,7 +3,11 @@
 Lines within `edits` edits of each other share, unedited, one of the edits + 1 segments of the shorter line. So each line
 is indexed by its own segments, and probes the segments of lines of its length and up to `edits` shorter ones by the
 substrings that can match them (the multi-match-aware positions). Candidates are verified by a banded bit-parallel edit
-distance. DataFrame functions only.
+distance.
+
+Of any edits + 1 disjoint parts of a line one stays unedited. So lines that share a segment with very many others, as
+headings or log lines do, are cut again into more and shorter parts, and each is indexed by the rarest edits + 1 of
+these: a common beginning then brings no pairs, whatever the size of the family. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,23 +15,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound, table
-from corpusloom.storage import stored
+from corpusloom.llm.common import bound, table, unused
+from corpusloom.storage import discard, stored
 
 EDITS = 2
-#: What ORACLE_SQL compares by; op5_line_dedup is held to its rows.
-SQL_EDITS = 1
-#: Shorter lines are compared for equality only: an edit in few characters is another line.
-LEAST_CHARS = 24
+#: A pair of lines may differ by one edit for each so many characters of the shorter one, and by `edits` at most.
+CHARS_PER_EDIT = 12
+#: Different lines of one segment beyond which they are indexed by rarer parts.
+GROUP = 64
+#: Shared segments up to which they are sent to all tasks (16 bytes each); beyond, both sides are shuffled.
+SMALL_KEYS = 500_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
+_LOW = 15
+
+
+def allowed(a: Column, b: Column, edits: int) -> Column:
+    """The edits by which lines of a and b characters may differ."""
+    return F.least(F.lit(edits), F.floor(F.least(a, b) / CHARS_PER_EDIT).cast("int"))
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(first character from 1, characters) of segment i of a line of that length: even parts, the longer ones last."""
-    parts = edits + 1
-    base, longer = F.floor(length / parts), F.pmod(length, F.lit(parts))
+def segment(length: Column, i: Column, parts: Column) -> tuple[Column, Column]:
+    """(first character from 1, characters) of part i of a line of that length: even parts, the longer ones last."""
+    base, longer = F.floor(length / parts), F.pmod(length, parts)
     short = parts - longer
-    return (1 + i * base + F.greatest(F.lit(0), i - short)).cast("int"), (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+    return (1 + i * base + F.greatest(F.lit(0), i - short)).cast("int"), (base + F.when(i >= short, 1).otherwise(0)).cast("int")
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -40,27 +51,34 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 def _part(line: Column, length: Column, probe: tuple[int, int, int], edits: int) -> tuple[Column, Column, Column]:
     """(length of the line looked for, first character, characters) of a probe's substring."""
     less, i, shift = probe
-    first, chars = segment(length - less, i, edits)
+    first, chars = segment(length - less, F.lit(i), F.lit(edits + 1))
     return length - less, first + shift, chars
 
 
-def keys(line: Column, length: Column, edits: int, also: tuple[Column, ...] = ()) -> Column:
+def keys(line: Column, length: Column, edits: int) -> Column:
     """array<struct<code, key>>: code is the number of the probe. Substrings that would leave the line are left out."""
     made = []
     for code, probe in enumerate(probes(edits)):
         of, first, chars = _part(line, length, probe, edits)
         inside = (of >= 0) & (first >= 1) & (first + chars - 1 <= length)
-        made.append(F.when(inside, F.struct(F.lit(code).alias("code"), F.xxhash64(*also, of, F.lit(probe[1]), F.substring(line, first, chars)).alias("key"))))
+        made.append(F.when(inside, F.struct(F.lit(code).alias("code"), F.xxhash64(of, F.lit(probe[1]), F.substring(line, first, chars)).alias("key"))))
     return F.array_compact(F.array(*made))
 
 
-def remainder(line: Column, length: Column, code: Column, edits: int) -> Column:
-    """The line without the substring of the probe of that code."""
-    out = F.lit(None).cast("string")
-    for k, probe in enumerate(probes(edits)):
-        _, first, chars = _part(line, length, probe, edits)
-        out = F.when(code == k, F.concat(F.substring(line, F.lit(1), first - 1), F.substring(line, first + chars, length))).otherwise(out)
-    return out
+def _fine(length: Column, edits: int) -> Column:
+    """The number of parts into which a line of that length is cut again."""
+    return F.greatest(F.lit(edits + 1), F.least(F.lit(8 * (edits + 1)), F.floor(length / 4))).cast("int")
+
+
+def fine_keys(line: Column, length: Column, less: int, shift: int, edits: int) -> Column:
+    """The keys of all parts of a line `less` characters shorter, as they would stand in this one, moved by shift; null where they would leave it."""
+
+    def key(i: Column) -> Column:
+        first, chars = segment(length - less, i, _fine(length - less, edits))
+        inside = (first + shift >= 1) & (first + shift + chars - 1 <= length)
+        return F.when(inside, F.xxhash64(length - less, i, F.substring(line, first + shift, chars)))
+
+    return F.transform(F.sequence(F.lit(0), _fine(length - less, edits) - 1), key)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -117,72 +135,110 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(id, row, pos, h, line) of each line with a word. row stands for an (id, text) pair, h for the line's text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("id", "row", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return own.where(~F.col("line").rlike(_BLANK)).select("id", "row", "pos", F.xxhash64("line").alias("h"), "line")
+    return own.where(~F.col("line").rlike(_BLANK)).select("id", "row", "pos", F.unhex(F.md5("line")).alias("h"), "line")
 
 
-def _candidates(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
-    """(key, h, code, id, row, pos): the entries of keys that two different lines or more share, with the first place of each line."""
+def _candidates(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, h, code, line): the entries of keys that two different lines or more share."""
     # the length is a column of its own: inside the keys' branches it would be counted again for each use
-    sized = lines.select("h", "line", F.length("line").alias("length")).where(F.col("length") >= LEAST_CHARS)
-    entries = sized.select("h", F.explode(keys(F.col("line"), F.col("length"), edits)).alias("k")).select("h", F.col("k.code").alias("code"), F.col("k.key").alias("key"))
-    # equal lines meet map-side, so that a very common line is a row a key and task
-    shared = entries.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.min("code").alias("index")).where((F.col("least") != F.col("most")) & (F.col("index") <= edits)).select("key")
-    return entries.join(shared, "key").groupBy("key", "h", "code").agg(F.count(F.lit(1)).alias("n")).drop("n").join(first, "h")
-
-
-def near_lines(docs: DataFrame, lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
-    """(h) of the lines that are within edits edits of a line whose first place is earlier."""
-    at = F.struct("id", "pos", "row")
-    entries = stored(_candidates(lines, first, edits), "entries")
-    # the texts of those lines, from the one document in which each is first
-    wanted = entries.select("h", "row", "pos").distinct().groupBy("row").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    # a merge join at every size: the wanted places are as many as the corpus makes them
-    found = docs.select("row", "text").join(wanted.hint("merge"), "row").select(F.split("text", "\n").alias("l"), F.explode("at").alias("x")).select(F.col("x.h").alias("h"), F.get("l", F.col("x.pos")).alias("line"))
-    text = stored(found.dropDuplicates(["h"]), "lines")
+    sized = lines.select("h", "line", F.length("line").alias("length")).where(F.col("length") >= CHARS_PER_EDIT)
+    every = sized.select("h", "line", F.explode(keys(F.col("line"), F.col("length"), edits)).alias("k"))
+    # equal lines meet map-side, so that a very common line is a row a key and task; a few bits less of the line's hash
+    # than it has, and its lowest code in their place, make one number of each entry
+    number = F.xxhash64("line").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("k.code").cast("long"))
+    spread = every.select(F.col("k.key").alias("key"), number.alias("v")).groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    shared = stored(spread.where(F.shiftright("least", 4) != F.shiftright("most", 4)).select("key"), "keys")
+    few = shared.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
+    held = every.select("h", "line", "k.key", "k.code").join(F.broadcast(shared) if few else shared, "key")
+    out = stored(held.groupBy("key", "h").agg(F.min("code").alias("code"), F.first("line").alias("line")), "entries")
+    discard(shared)
+    return out
+
+
+def _pairs(entries: DataFrame, others: DataFrame, on: str, needs: Column) -> DataFrame:
+    """(early, late) of each two lines that meet: columns a_... of entries and b_... of others."""
+    both = entries.join(others, on).where((F.col("a_h") != F.col("b_h")) & needs)
+    before = F.col("a_at") < F.col("b_at")
+    return both.select(F.when(before, F.col("a_h")).otherwise(F.col("b_h")).alias("early"), F.when(before, F.col("b_h")).otherwise(F.col("a_h")).alias("late")).distinct()
+
+
+def _renamed(df: DataFrame, on: str, prefix: str) -> DataFrame:
+    return df.select(on, *(F.col(c).alias(prefix + c) for c in df.columns if c != on))
+
+
+def near_lines(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """(h) of the lines that are within the edits allowed of a line whose first place is earlier. first: (h, at), the first places."""
+    found = _candidates(lines, edits)
+    text = stored(found.groupBy("h").agg(F.first("line").alias("line")), "lines")
+    entries = stored(found.select("key", "h", (F.col("code") <= edits).alias("own")).join(first, "h"), "entries")
+    discard(found)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (text.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")) for x in ("early", "late"))
-        return pairs.join(a, "early").join(b, "late").where(banded_distance(F.col("line_early"), F.col("line_late"), edits) <= edits).select("late").distinct()
-
-    # first each line with the earliest of its key: that settles a family of variants at a comparison each
-    lead = entries.groupBy("key").agg(F.min(F.struct("id", "pos", "row", "h", "code")).alias("p")).select("key", "p")
-    own = F.col("code") <= edits
-    star = entries.join(lead, "key").where((F.col("p.h") != F.col("h")) & (own | (F.col("p.code") <= edits))).select(F.col("p.h").alias("early"), F.col("h").alias("late")).distinct()
-    settled = stored(verified(stored(star, "star")), "settled")
-    # then those left with every earlier line of the key, on the keys of what remains beside the shared segment
-    sized = entries.join(text, "h").withColumn("length", F.length("line"))
-    rest = sized.select("key", "h", own.alias("own"), at.alias("at"), remainder(F.col("line"), F.col("length"), F.col("code"), edits).alias("left")).withColumn("length", F.length("left"))
-    fine = rest.select("key", "h", "own", "at", F.explode(keys(F.col("left"), F.col("length"), edits, (F.col("key"),))).alias("k")).select(F.col("k.key").alias("key"), "h", "at", "own", (F.col("k.code") <= edits).alias("sub")).distinct()
-    fine = stored(fine, "fine")
-    late = fine.join(settled.withColumnRenamed("late", "h"), "h", "left_anti").select("key", F.col("h").alias("late"), F.col("at").alias("late_at"), F.col("own").alias("own_l"), F.col("sub").alias("sub_l"))
-    early = fine.select("key", F.col("h").alias("early"), F.col("at").alias("early_at"), F.col("own").alias("own_e"), F.col("sub").alias("sub_e"))
-    meet = late.join(early, "key").where((F.col("early_at") < F.col("late_at")) & (F.col("own_l") | F.col("own_e")) & (F.col("sub_l") | F.col("sub_e"))).select("early", "late").distinct()
-    return settled.union(verified(stored(meet, "meet"))).distinct().withColumnRenamed("late", "h")
+        most = allowed(F.length("line_early"), F.length("line_late"), edits)
+        near = banded_distance(F.col("line_early"), F.col("line_late"), edits) <= most
+        return pairs.join(a, "early").join(b, "late").where(near).select("late").distinct()
+
+    groups = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "h", "own")).alias("lead")).where("n > 1")
+    groups = stored(groups, "groups")
+    # all pairs of a small group; of a large one each line with the earliest, which settles most of a family of variants
+    small = entries.join(groups.where(F.col("n") <= GROUP).select("key"), "key")
+    pairs = _pairs(_renamed(small, "key", "a_"), _renamed(small, "key", "b_"), "key", (F.col("a_at") < F.col("b_at")) & (F.col("a_own") | F.col("b_own")))
+    large = groups.where(F.col("n") > GROUP)
+    star = _pairs(_renamed(entries, "key", "a_"), large.select("key", F.col("lead.at").alias("b_at"), F.col("lead.h").alias("b_h")), "key", F.lit(True))
+    settled = stored(verified(stored(pairs.union(star).distinct(), "pairs")), "settled")
+    if large.isEmpty():
+        return settled.withColumnRenamed("late", "h")
+    hot = entries.join(large.select("key"), "key").groupBy("h").agg(F.first("at").alias("at")).join(text, "h").withColumn("length", F.length("line"))
+    hot = stored(hot.join(settled.select(F.col("late").alias("h"), F.lit(True).alias("done")), "h", "left"), "hot")
+    rest = stored(verified(stored(_rare_pairs(hot, edits), "pairs")), "settled")
+    return settled.union(rest).distinct().withColumnRenamed("late", "h")
+
+
+def _rare_pairs(hot: DataFrame, edits: int) -> DataFrame:
+    """(early, late) of hot lines that share one of the rarest edits + 1 parts of the shorter one, where the later one isn't settled."""
+    line, length = F.col("line"), F.col("length")
+    own = hot.select("h", "at", "done", F.explode(fine_keys(line, length, 0, 0, edits)).alias("part"))
+    counts = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as a line has parts
+    ranked = own.join(counts, "part").groupBy("h").agg(F.first("at").alias("at"), F.first("done").alias("done"), F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    index = ranked.select("h", "at", "done", F.explode(F.slice("parts", 1, edits + 1)).alias("p")).select("h", "at", "done", F.col("p.part").alias("part"))
+    moves = [(d, s) for d in range(edits + 1) for s in range(-edits, edits + 1) if abs(s) + abs(d - s) <= edits]
+    every = F.array_distinct(F.flatten(F.array(*(F.array_compact(fine_keys(line, length, d, s, edits)) for d, s in moves))))
+    probe = hot.select("h", "at", "done", F.explode(every).alias("part"))
+    unsettled = F.when(F.col("a_at") < F.col("b_at"), F.col("b_done")).otherwise(F.col("a_done")).isNull()
+    return _pairs(_renamed(index, "part", "a_"), _renamed(probe, "part", "b_"), "part", unsettled)
 
 
 def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(row, removed array<int>): the positions of the lines to remove. docs: (id, row, text)."""
     lines = lines_of(docs)
     place = F.struct("id", "pos", "row")
-    every = lines.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("last"))
-    every = stored(every.select("h", F.col("p.id").alias("id"), F.col("p.pos").alias("pos"), F.col("p.row").alias("row"), (F.col("p") != F.col("last")).alias("again")), "first")
-    near = near_lines(docs, lines, every.select("h", "id", "row", "pos"), edits)
-    gone = every.join(near.withColumn("near", F.lit(True)), "h", "left").where("again OR near").select("h", F.struct("id", "pos", "row").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.select("id", "row", "pos", "h").join(gone, "h").where(F.col("near") | (F.struct("id", "pos", "row") != F.col("first")))
+    every = lines.groupBy("h").agg(F.min(place).alias("at"), F.max(place).alias("last"))
+    every = stored(every.select("h", "at", (F.col("at") != F.col("last")).alias("again")), "first")
+    near = near_lines(lines, every.select("h", "at"), edits)
+    gone = every.join(near.withColumn("near", F.lit(True)), "h", "left").where("again OR near").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    out = lines.select("id", "row", "pos", "h").join(gone, "h").where(F.col("near") | (F.struct("id", "pos", "row") != F.col("at")))
     return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    """128 bits that stand for an (id, text) pair."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
+    return df.select(F.col(id_col).alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
     """(id, n_lines, n_removed, removed) of each row: removed are the positions, from 0, of the lines that repeat an earlier one.
 
     Lines are the parts between line feeds; those without a word stay. A line goes if an equal line stands earlier, by
-    (id, position), or one within `edits` edits (both of LEAST_CHARS characters or more) whose first place is earlier.
-    Equal rows with equal ids are one place and share their fate. Null ids come first; null and empty texts have no
-    lines to remove. Other columns are ignored, whatever their names. Texts and lines are told apart by 64-bit hashes.
+    (id, position), or one within some edits whose first place is earlier: one edit for each CHARS_PER_EDIT characters
+    of the shorter line, `edits` at most. Equal rows with equal ids are one place and share their fate. Null ids come
+    first; null and empty texts have no lines to remove. Other columns are ignored, whatever their names. An empty table
+    gives no rows. Texts and lines are told apart by 128-bit hashes.
     """
     docs = _own(df, id_col, text_col)
     gone = removals(docs, edits)
@@ -193,24 +249,37 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
-    """df with the lines that line_report() names taken out of the text. Rows of which no line with a word is left go, if they had one."""
-    gone = stored(removals(_own(df, id_col, text_col), edits).withColumnRenamed("row", "_row"), "removed")
-    joined = df.withColumn("_row", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(gone, "_row", "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    out = joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return out.where(F.col("removed").isNull() | ~F.regexp_replace(F.col(text_col), "\n", "").rlike(_BLANK)).select(*df.columns)
+    """df with the lines that line_report() names taken out of the text. Rows of which no line with a word is left go, if they had one.
+
+    Rows with null or empty texts stay as they are. Columns may have any names; an empty table gives no rows.
+    """
+    row, removed = unused(df, "row"), unused(df, "removed")
+    gone = stored(removals(_own(df, id_col, text_col), edits).toDF(row, removed), "removed")
+    joined = df.withColumn(row, _row(id_col, text_col)).join(gone, row, "left")
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(removed), i))
+    out = joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    return out.where(F.col(removed).isNull() | ~F.regexp_replace(F.col(text_col), "\n", "").rlike(_BLANK)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"), edits=SQL_EDITS)
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def _sql_part(less: int, i: int, shift: int) -> str:
+    """The select of one probe: the substrings of all lines that stand for segment i of lines `less` characters shorter."""
+    n, parts = f"(n - {less})", EDITS + 1
+    short = f"({parts} - {n} % {parts})"
+    first = f"(1 + {i} * ({n} // {parts}) + greatest(0, {i} - {short}) + {shift})"
+    chars = f"({n} // {parts} + CASE WHEN {i} >= {short} THEN 1 ELSE 0 END)"
+    return f"SELECT line, p, n, {n} AS m, {i} AS i, substr(line, {first}, {chars}) AS x FROM f WHERE n >= {CHARS_PER_EDIT} AND {n} >= 0 AND {first} >= 1 AND {first} + {chars} - 1 <= n"
 
 
 ORACLE_SQL = f"""
 WITH l AS MATERIALIZED (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents) WHERE NOT regexp_full_match(line, '[\\x20\\x09-\\x0D]*')),
 f AS MATERIALIZED (SELECT line, min((doc_id, pos)) AS p, length(line) AS n FROM l GROUP BY line),
-k AS MATERIALIZED (SELECT line, p, n, substr(line, 1, n // 2) AS x, 0 AS side FROM f WHERE n >= {LEAST_CHARS} UNION ALL SELECT line, p, n, substr(line, n // 2 + 1), 1 FROM f WHERE n >= {LEAST_CHARS}),
-g AS MATERIALIZED (SELECT line, p, n, unnest([substr(line, 1, (n - 1) // 2), substr(line, 1, n // 2)]) AS x, 0 AS side FROM f WHERE n >= {LEAST_CHARS} UNION ALL SELECT line, p, n, unnest([substr(line, n // 2 + 1), substr(line, n // 2 + 2)]), 1 FROM f WHERE n >= {LEAST_CHARS}),
-near AS (SELECT DISTINCT CASE WHEN k.p < g.p THEN g.line ELSE k.line END AS line FROM k JOIN g ON k.x = g.x AND k.side = g.side AND g.n - k.n BETWEEN 0 AND 1 AND k.line <> g.line WHERE levenshtein(k.line, g.line) <= 1),
+k AS MATERIALIZED ({" UNION ALL ".join(_sql_part(*x) for x in probes(EDITS)[: EDITS + 1])}),
+g AS MATERIALIZED ({" UNION ALL ".join(_sql_part(*x) for x in probes(EDITS))}),
+near AS (SELECT DISTINCT CASE WHEN k.p < g.p THEN g.line ELSE k.line END AS line FROM k JOIN g ON k.x = g.x AND k.i = g.i AND k.n = g.m AND k.line <> g.line WHERE levenshtein(k.line, g.line) <= least({EDITS}, k.n // {CHARS_PER_EDIT})),
 r AS (SELECT l.doc_id, l.pos FROM l JOIN f ON f.line = l.line LEFT JOIN near ON near.line = l.line WHERE near.line IS NOT NULL OR (l.doc_id, l.pos) <> f.p),
 rr AS (SELECT doc_id, count(*) AS n, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS removed FROM r GROUP BY doc_id), nl AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(nl.n, 0) AS n_lines, coalesce(rr.n, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN nl ON nl.doc_id = d.doc_id LEFT JOIN rr ON rr.doc_id = d.doc_id

@@ -257,7 +257,7 @@ def lines_brute(rows, edits):
     first = {}
     for i, p, x in places:
         first.setdefault(x, (i, p))
-    near = {x for x in first for y in first if first[y] < first[x] and len(x) >= line_dedup.LEAST_CHARS <= len(y) and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits}
+    near = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= edits and distance(x, y) <= min(edits, min(len(x), len(y)) // line_dedup.CHARS_PER_EDIT)}
     out = []
     for i, t, _, _ in rows:
         own = [(p, x) for p, x in enumerate((t or "").split("\n")) if WORD.search(x)]
@@ -266,8 +266,10 @@ def lines_brute(rows, edits):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup(docs_of, edits):
+@pytest.mark.parametrize(("edits", "group", "small"), [(1, 64, 500_000), (2, 64, 0), (1, 3, 0), (2, 3, 500_000), (2, 0, 500_000)])
+def test_line_dedup(docs_of, monkeypatch, edits, group, small):
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    monkeypatch.setattr(line_dedup, "SMALL_KEYS", small)
     rnd = random.Random(4)
     rows = [r for r in corpus(7, 25) if r[0] != 7]
     base = "abcd efgh ijkl mnop qrst uvwx"
@@ -288,6 +290,34 @@ def test_line_dedup_texts(docs, empty):
     assert line_dedup.line_report(empty).count() == 0 and line_dedup.without_repeats(empty).count() == 0
 
 
+def test_lines_with_a_long_common_part(docs_of, monkeypatch):
+    made = {}
+    keep = line_dedup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    rnd = random.Random(8)
+    common = "2024-03-01 12:00:00 INFO worker: the request has been handled by the service, and its number is "[:90]
+    lines = [common + "".join(rnd.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(300)]
+    lines += [x[:100] + "?" + x[101:] for x in lines[:20]]
+    rows = [(i, x, "en", "a") for i, x in enumerate(lines)]
+    got = table_of(line_dedup.line_report(docs_of(rows)), "doc_id", "n_lines", "n_removed", "removed")
+    assert [r[0] for r in got if r[2]] and sorted(r[0] for r in got if r[2]) == list(range(300, 320))
+    assert made["pairs"] < 10 * len(rows)
+
+
+def test_line_dedup_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one line of some words\nanother", 7, 8, "x"), (2, "one line of some words\nthird", 9, 1, "y")], "doc_id long, text string, removed int, row int, h string").withColumn("Row_", F.lit(0)).withColumn("a.b", F.lit(1))
+    out = line_dedup.without_repeats(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["text"], r["removed"], r["row"]) for r in out.collect()) == [(1, "one line of some words\nanother", 7, 8), (2, "third", 9, 1)]
+    assert line_dedup.line_report(df).count() == 2
+
+
 def test_banded_distance(spark):
     rnd = random.Random(3)
     rows = []
