@@ -22,7 +22,7 @@ EDITS = 2
 #: A pair of lines may differ by one edit for each so many characters of the shorter one, and by `edits` at most.
 CHARS_PER_EDIT = 12
 #: Different lines of one segment beyond which they are indexed by rarer parts.
-GROUP = 64
+GROUP = 16
 #: Shared segments up to which they are sent to all tasks (16 bytes each); beyond, both sides are shuffled.
 SMALL_KEYS = 500_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -48,21 +48,19 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return own + [p for p in rest if p not in own]
 
 
-def _part(line: Column, length: Column, probe: tuple[int, int, int], edits: int) -> tuple[Column, Column, Column]:
-    """(length of the line looked for, first character, characters) of a probe's substring."""
-    less, i, shift = probe
-    first, chars = segment(length - less, F.lit(i), F.lit(edits + 1))
-    return length - less, first + shift, chars
+def entries_of(lines: DataFrame, edits: int) -> DataFrame:
+    """lines (..., line) with code and key: a row for each substring to look up that lies within the line; code is the number of the probe.
 
-
-def keys(line: Column, length: Column, edits: int) -> Column:
-    """array<struct<code, key>>: code is the number of the probe. Substrings that would leave the line are left out."""
-    made = []
-    for code, probe in enumerate(probes(edits)):
-        of, first, chars = _part(line, length, probe, edits)
-        inside = (of >= 0) & (first >= 1) & (first + chars - 1 <= length)
-        made.append(F.when(inside, F.struct(F.lit(code).alias("code"), F.xxhash64(of, F.lit(probe[1]), F.substring(line, first, chars)).alias("key"))))
-    return F.array_compact(F.array(*made))
+    Four bytes a character, so that no substring has to be searched for; and a row a substring rather than an array
+    of them, whose code would be too long a method for the JVM to compile.
+    """
+    numbers = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(d).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for c, (d, i, s) in enumerate(probes(edits))))
+    units = lines.select("*", F.encode("line", "UTF-32").alias("units")).select("*", F.expr("CAST(octet_length(units) DIV 4 AS INT)").alias("chars"))
+    each = units.where(F.col("chars") >= CHARS_PER_EDIT).select("*", F.explode(numbers).alias("p")).select("*", "p.*", F.expr("chars - p.less").alias("of"))
+    base, longer = F.expr(f"CAST(of DIV {edits + 1} AS INT)").alias("base"), (edits + 1 - F.col("of") % (edits + 1)).alias("longer")
+    placed = each.select("*", base, longer).select("*", F.expr("1 + i * base + greatest(0, i - longer) + shift").alias("first"), F.expr("base + if(i >= longer, 1, 0)").alias("size"))
+    inside = placed.where("of >= 0 AND first >= 1 AND first + size - 1 <= chars")
+    return inside.select(*lines.columns, "code", F.expr("xxhash64(of, i, substring(units, 4 * first - 3, 4 * size))").alias("key"))
 
 
 def _fine(length: Column, edits: int) -> Column:
@@ -140,74 +138,71 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(key, h, code, line): the entries of keys that two different lines or more share."""
-    # the length is a column of its own: inside the keys' branches it would be counted again for each use
-    sized = lines.select("h", "line", F.length("line").alias("length")).where(F.col("length") >= CHARS_PER_EDIT)
-    every = sized.select("h", "line", F.explode(keys(F.col("line"), F.col("length"), edits)).alias("k"))
+    every = entries_of(lines.select("h", "line"), edits)
     # equal lines meet map-side, so that a very common line is a row a key and task; a few bits less of the line's hash
     # than it has, and its lowest code in their place, make one number of each entry
-    number = F.xxhash64("line").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("k.code").cast("long"))
-    spread = every.select(F.col("k.key").alias("key"), number.alias("v")).groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    number = F.xxhash64("line").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("code").cast("long"))
+    spread = every.select("key", number.alias("v")).groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"))
     shared = stored(spread.where(F.shiftright("least", 4) != F.shiftright("most", 4)).select("key"), "keys")
     few = shared.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
-    held = every.select("h", "line", "k.key", "k.code").join(F.broadcast(shared) if few else shared, "key")
+    held = every.join(F.broadcast(shared) if few else shared, "key")
     out = stored(held.groupBy("key", "h").agg(F.min("code").alias("code"), F.first("line").alias("line")), "entries")
     discard(shared)
     return out
 
 
-def _pairs(entries: DataFrame, others: DataFrame, on: str, needs: Column) -> DataFrame:
-    """(early, late) of each two lines that meet: columns a_... of entries and b_... of others."""
-    both = entries.join(others, on).where((F.col("a_h") != F.col("b_h")) & needs)
-    before = F.col("a_at") < F.col("b_at")
-    return both.select(F.when(before, F.col("a_h")).otherwise(F.col("b_h")).alias("early"), F.when(before, F.col("b_h")).otherwise(F.col("a_h")).alias("late")).distinct()
+def _late(entries: DataFrame, others: DataFrame, on: str, needs: Column, edits: int) -> DataFrame:
+    """(late) of each two lines that meet and are near: columns a_... of entries and b_... of others.
+
+    Pairs are verified where they meet, and never written: the compiled distance, which stops beyond the threshold, is
+    part of the join; the few pairs that it leaves go through the bit-parallel one, with the threshold of their lengths.
+    """
+    maybe = F.levenshtein("a_line", "b_line", edits) >= 0
+    both = entries.join(others, on).where((F.col("a_h") != F.col("b_h")) & needs & maybe)
+    near = banded_distance(F.col("a_line"), F.col("b_line"), edits) <= allowed(F.length("a_line"), F.length("b_line"), edits)
+    return both.where(near).select(F.when(F.col("a_at") < F.col("b_at"), F.col("b_h")).otherwise(F.col("a_h")).alias("late")).distinct()
 
 
-def _renamed(df: DataFrame, on: str, prefix: str) -> DataFrame:
+def _side(df: DataFrame, on: str, prefix: str) -> DataFrame:
     return df.select(on, *(F.col(c).alias(prefix + c) for c in df.columns if c != on))
 
 
 def near_lines(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     """(h) of the lines that are within the edits allowed of a line whose first place is earlier. first: (h, at), the first places."""
     found = _candidates(lines, edits)
-    text = stored(found.groupBy("h").agg(F.first("line").alias("line")), "lines")
-    entries = stored(found.select("key", "h", (F.col("code") <= edits).alias("own")).join(first, "h"), "entries")
+    entries = stored(found.select("key", "h", "line", (F.col("code") <= edits).alias("own")).join(first, "h"), "entries")
     discard(found)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (text.select(F.col("h").alias(x), F.col("line").alias(f"line_{x}")) for x in ("early", "late"))
-        most = allowed(F.length("line_early"), F.length("line_late"), edits)
-        near = banded_distance(F.col("line_early"), F.col("line_late"), edits) <= most
-        return pairs.join(a, "early").join(b, "late").where(near).select("late").distinct()
-
-    groups = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "h", "own")).alias("lead")).where("n > 1")
+    groups = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "h", "line")).alias("lead")).where("n > 1")
     groups = stored(groups, "groups")
     # all pairs of a small group; of a large one each line with the earliest, which settles most of a family of variants
     small = entries.join(groups.where(F.col("n") <= GROUP).select("key"), "key")
-    pairs = _pairs(_renamed(small, "key", "a_"), _renamed(small, "key", "b_"), "key", (F.col("a_at") < F.col("b_at")) & (F.col("a_own") | F.col("b_own")))
+    earlier = (F.col("a_at") < F.col("b_at")) & (F.col("a_own") | F.col("b_own"))
+    pairs = _late(_side(small, "key", "a_"), _side(small, "key", "b_"), "key", earlier, edits)
     large = groups.where(F.col("n") > GROUP)
-    star = _pairs(_renamed(entries, "key", "a_"), large.select("key", F.col("lead.at").alias("b_at"), F.col("lead.h").alias("b_h")), "key", F.lit(True))
-    settled = stored(verified(stored(pairs.union(star).distinct(), "pairs")), "settled")
-    if large.isEmpty():
-        return settled.withColumnRenamed("late", "h")
-    hot = entries.join(large.select("key"), "key").groupBy("h").agg(F.first("at").alias("at")).join(text, "h").withColumn("length", F.length("line"))
-    hot = stored(hot.join(settled.select(F.col("late").alias("h"), F.lit(True).alias("done")), "h", "left"), "hot")
-    rest = stored(verified(stored(_rare_pairs(hot, edits), "pairs")), "settled")
-    return settled.union(rest).distinct().withColumnRenamed("late", "h")
-
-
-def _rare_pairs(hot: DataFrame, edits: int) -> DataFrame:
-    """(early, late) of hot lines that share one of the rarest edits + 1 parts of the shorter one, where the later one isn't settled."""
+    star = _late(_side(entries, "key", "a_"), _side(large.select("key", "lead.*"), "key", "b_"), "key", F.lit(True), edits)
+    settled = stored(pairs.union(star).distinct(), "settled")
+    if not large.isEmpty():
+        hot = entries.join(large.select("key"), "key").groupBy("h").agg(F.first("at").alias("at"), F.first("line").alias("line"))
+        hot = stored(hot.join(settled.select(F.col("late").alias("h"), F.lit(True).alias("done")), "h", "left"), "hot")
+        settled = settled.union(stored(_rare_late(hot, edits), "settled")).distinct()
+    discard(groups)
+    return settled.withColumnRenamed("late", "h")
+
+
+def _rare_late(hot: DataFrame, edits: int) -> DataFrame:
+    """(late) of hot lines that share one of the rarest edits + 1 parts of the shorter one and are near, where the later one isn't settled."""
+    sized = hot.select("h", "line", F.length("line").alias("length"))
     line, length = F.col("line"), F.col("length")
-    own = hot.select("h", "at", "done", F.explode(fine_keys(line, length, 0, 0, edits)).alias("part"))
+    own = sized.select("h", F.explode(fine_keys(line, length, 0, 0, edits)).alias("part"))
     counts = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # as many rows as a line has parts
-    ranked = own.join(counts, "part").groupBy("h").agg(F.first("at").alias("at"), F.first("done").alias("done"), F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
-    index = ranked.select("h", "at", "done", F.explode(F.slice("parts", 1, edits + 1)).alias("p")).select("h", "at", "done", F.col("p.part").alias("part"))
+    ranked = own.join(counts, "part").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    index = stored(ranked.select("h", F.explode(F.slice("parts", 1, edits + 1)).alias("p")).select("h", F.col("p.part").alias("part")), "parts")
     moves = [(d, s) for d in range(edits + 1) for s in range(-edits, edits + 1) if abs(s) + abs(d - s) <= edits]
     every = F.array_distinct(F.flatten(F.array(*(F.array_compact(fine_keys(line, length, d, s, edits)) for d, s in moves))))
-    probe = hot.select("h", "at", "done", F.explode(every).alias("part"))
+    probe = sized.select("h", F.explode(every).alias("part")).join(index.select("part").distinct(), "part", "left_semi")
     unsettled = F.when(F.col("a_at") < F.col("b_at"), F.col("b_done")).otherwise(F.col("a_done")).isNull()
-    return _pairs(_renamed(index, "part", "a_"), _renamed(probe, "part", "b_"), "part", unsettled)
+    return _late(_side(index.join(hot, "h"), "part", "a_"), _side(probe.join(hot, "h"), "part", "b_"), "part", unsettled, edits)
 
 
 def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
