@@ -44,9 +44,12 @@ def _wanted(d: str, given: dict[str | None, float]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*parts), F.col(d)), F.lit(0.0))
 
 
-def raked(cell: DataFrame, flattening: dict[str, float] = FLATTENING, sweeps: int = SWEEPS, targets: dict[str, dict[str | None, float]] | None = None) -> DataFrame:
+def raked(cell: DataFrame, flattening: dict[str, float] = FLATTENING, sweeps: int = SWEEPS, targets: dict[str, dict[str | None, float]] | None = None, budget: float = BUDGET) -> DataFrame:
     """cells with share: the observed shares fitted to the targets of each dimension in turn, sweeps times.
 
+    A cell gets no more than all of its documents: what is beyond stays with the other cells of its category, as these
+    are fitted to what is left of the target in the steps that follow.
+
     targets has the weights of a dimension's categories (None: the null one), in place of flattened observed shares.
     They are scaled to sum to 1 over the categories there are; those it doesn't name get nothing.
     """
@@ -64,7 +67,8 @@ def raked(cell: DataFrame, flattening: dict[str, float] = FLATTENING, sweeps: in
             fit = F.col("share") * F.col(f"target_{d}")
             own = F.sum("share").over(total(d))
             # a category can be left with nothing only where targets are given
-            out = out.withColumn("share", F.coalesce(F.try_divide(fit, own), F.lit(0.0)) if targets else fit / own)
+            fit = F.coalesce(F.try_divide(fit, own), F.lit(0.0)) if targets else fit / own
+            out = out.withColumn("share", F.least(fit, F.col("tokens") / F.lit(budget) / F.col("all")))
     return out
 
 
@@ -72,7 +76,7 @@ def probabilities(docs: DataFrame, flattening: dict[str, float] = FLATTENING, bu
     """(source, lang, topic, weight) and whether the table is small. weight: the probability at which a document of the cell is kept."""
     cell = stored(cells(docs), "cells")
     small = cell.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
-    fitted = raked(cell.coalesce(1) if small else cell, flattening, sweeps, targets)
+    fitted = raked(cell.coalesce(1) if small else cell, flattening, sweeps, targets, budget)
     return stored(fitted.select(*DIMENSIONS, F.least(F.lit(1.0), budget * F.col("share") * F.col("all") / F.col("tokens")).alias("weight")), "weights"), small
 
 
@@ -116,11 +120,11 @@ def oracle(source: str = "documents") -> str:
     steps, last = [], "w0"
     for k in range(SWEEPS * len(DIMENSIONS)):
         d = DIMENSIONS[k % len(DIMENSIONS)]
-        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (share * target_{d} / sum(share) OVER (PARTITION BY {d}) AS share) FROM {last})")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (least(share * target_{d} / sum(share) OVER (PARTITION BY {d}), tokens / {BUDGET} / total) AS share) FROM {last})")
         last = f"w{k + 1}"
     text = "coalesce(text, '')"
     return f"""
-WITH docs AS (SELECT doc_id, coalesce(source, '{NONE[1:]}') AS source, coalesce(lang, '{NONE[1:]}') AS lang,
+WITH docs AS (SELECT doc_id, source, lang,
     CASE WHEN length({text}) >= 8000 THEN 'long' WHEN length({text}) < 400 THEN 'short' WHEN length({text}) < 100 * len(string_split({text}, chr(10))) THEN 'list' ELSE 'prose' END AS topic,
     greatest(1, strlen({text}) // 4)::BIGINT AS n_tokens FROM {source}),
 cell AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
@@ -128,8 +132,8 @@ s0 AS (SELECT *, sum(tokens) OVER () AS total, tokens / sum(tokens) OVER () AS s
 s1 AS (SELECT *, {size} FROM s0), s2 AS (SELECT *, {power} FROM s1), w0 AS MATERIALIZED (SELECT *, {target} FROM s2),
 {", ".join(steps)},
 p AS (SELECT source, lang, topic, least(1.0, {BUDGET} * share * total / tokens) AS weight FROM {last})
-SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0 < weight AS sampled
-FROM docs JOIN p USING (source, lang, topic)
+SELECT doc_id, docs.source, docs.lang, docs.topic, n_tokens, round(weight, 6) AS weight, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0 < weight AS sampled
+FROM docs JOIN p ON docs.source IS NOT DISTINCT FROM p.source AND docs.lang IS NOT DISTINCT FROM p.lang AND docs.topic = p.topic
 """
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import default_vocabulary, encoded_lengths
 from corpusloom.llm.common import table
+from corpusloom.storage import stored
 
 #: Lengths in one block of the two-level sums: no task sorts more rows than this at once.
 BLOCK = 4096
@@ -60,4 +61,5 @@ def totals_at(limits: DataFrame, contexts: list[int]) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = encoded_lengths(table(spark, sf_dir, "documents"), *default_vocabulary(), keep=[])
-    return context_limits(length_histogram(lengths))
+    # stored, since the sums read it twice and every text would be encoded twice
+    return context_limits(stored(length_histogram(lengths), "histogram"))

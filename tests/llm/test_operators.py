@@ -213,7 +213,7 @@ def test_mixing_meets_the_margins(docs, empty):
             sums = defaultdict(float)
             for c, v in share.items():
                 sums[c[k]] += v
-            share = {c: v * target[k][c[k]] / sums[c[k]] for c, v in share.items()}
+            share = {c: min(v * target[k][c[k]] / sums[c[k]], cells[c] / mixing.BUDGET / total) for c, v in share.items()}
     for r in rows:
         c = r["source"], r["lang"], r["topic"]
         p = min(1.0, mixing.BUDGET * share[c] * total / cells[c])

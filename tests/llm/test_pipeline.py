@@ -75,7 +75,7 @@ def mixing_stage(rows):
             own = defaultdict(float)
             for c, v in share.items():
                 own[c[k]] += v
-            share = {c: v * targets[k][c[k]] / own[c[k]] for c, v in share.items()}
+            share = {c: min(v * targets[k][c[k]] / own[c[k]], sums[c] / mixing.BUDGET / total) for c, v in share.items()}
     draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if draw(r[0]) < min(1.0, mixing.BUDGET * share[cell(*r[1:])] * total / sums[cell(*r[1:])])]
 
