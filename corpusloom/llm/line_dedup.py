@@ -25,7 +25,7 @@ CHARS_PER_EDIT = 12
 GROUP = 16
 #: Shared segments up to which they are sent to all tasks (16 bytes each); beyond, both sides are shuffled.
 SMALL_KEYS = 500_000
-_BLANK = r"^[\x20\x09-\x0D]*$"
+_SPACE = " \t\n\x0b\x0c\r"
 _LOW = 15
 
 
@@ -129,16 +129,38 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return bound(F.struct(chars(F.when(longer, a).otherwise(b)).alias("p"), chars(F.when(longer, b).otherwise(a)).alias("t")), with_chars)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, row, pos, h, line) of each line with a word. row stands for an (id, text) pair, h for the line's text."""
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(_SPACE)) == ""
+
+
+def _place(df: DataFrame) -> Column:
+    """One value in the order of (id, pos), null ids first. For whole numbers one number, whose least is kept without a sort."""
+    kind = dict(df.dtypes)["id"]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct("id", "pos")
+    null = F.lit("-1" + "0" * 30).cast("decimal(38,0)")
+    return (F.coalesce(F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(12,0)"), null) + F.col("pos")).cast("decimal(38,0)")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("id", "row", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return own.where(~F.col("line").rlike(_BLANK)).select("id", "row", "pos", F.unhex(F.md5("line")).alias("h"), "line")
+    own = docs.select(*(c for c in docs.columns if c != "text"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return own.where(~_blank(F.col("line")))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(row, pos, at, h, line) of each line with a word. row stands for an (id, text) pair, h for the line's text, at for its place."""
+    own = _lines(docs)
+    return own.select("row", "pos", _place(own).alias("at"), _text_id(F.col("line")).alias("h"), "line")
+
+
+def _text_id(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     """(key, h, code, line): the entries of keys that two different lines or more share."""
-    every = entries_of(lines.select("h", "line"), edits)
+    every = entries_of(lines.select("line"), edits)
     # equal lines meet map-side, so that a very common line is a row a key and task; a few bits less of the line's hash
     # than it has, and its lowest code in their place, make one number of each entry
     number = F.xxhash64("line").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("code").cast("long"))
@@ -146,6 +168,7 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     shared = stored(spread.where(F.shiftright("least", 4) != F.shiftright("most", 4)).select("key"), "keys")
     few = shared.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
     held = every.join(F.broadcast(shared) if few else shared, "key")
+    held = held.withColumn("h", _text_id(F.col("line")))
     out = stored(held.groupBy("key", "h").agg(F.min("code").alias("code"), F.first("line").alias("line")), "entries")
     discard(shared)
     return out
@@ -208,18 +231,17 @@ def _rare_late(hot: DataFrame, edits: int) -> DataFrame:
 def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(row, removed array<int>): the positions of the lines to remove. docs: (id, row, text)."""
     lines = lines_of(docs)
-    place = F.struct("id", "pos", "row")
-    every = lines.groupBy("h").agg(F.min(place).alias("at"), F.max(place).alias("last"))
+    every = lines.groupBy("h").agg(F.min("at").alias("at"), F.max("at").alias("last"))
     every = stored(every.select("h", "at", (F.col("at") != F.col("last")).alias("again")), "first")
     near = near_lines(lines, every.select("h", "at"), edits)
-    gone = every.join(near.withColumn("near", F.lit(True)), "h", "left").where("again OR near").select("h", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.select("id", "row", "pos", "h").join(gone, "h").where(F.col("near") | (F.struct("id", "pos", "row") != F.col("at")))
+    gone = every.join(near.withColumn("near", F.lit(True)), "h", "left").where("again OR near").select("h", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    out = lines.select("row", "pos", "at", "h").join(gone, "h").where(F.col("near") | (F.col("at") != F.col("first")))
     return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def _row(id_col: str, text_col: str) -> Column:
     """128 bits that stand for an (id, text) pair."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))))
+    return _text_id(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,7 +259,7 @@ def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     """
     docs = _own(df, id_col, text_col)
     gone = removals(docs, edits)
-    n_lines = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: ~x.rlike(_BLANK))).cast("long")
+    n_lines = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: ~_blank(x))).cast("long")
     out = docs.select("id", "row", n_lines.alias("n_lines")).join(gone, "row", "left")
     none = F.array().cast("array<int>")
     return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.coalesce("removed", none).cast("array<string>"), ",").alias("removed"))
@@ -253,7 +275,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = df.withColumn(row, _row(id_col, text_col)).join(gone, row, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(removed), i))
     out = joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return out.where(F.col(removed).isNull() | ~F.regexp_replace(F.col(text_col), "\n", "").rlike(_BLANK)).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out.where(F.col(removed).isNull() | ~_blank(F.col(text_col))).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
