@@ -287,9 +287,11 @@ def split_counts(spark, sf_dir):
     return _assigned(spark, sf_dir).join(documents(spark, sf_dir).select("document_id", "language"), "document_id").groupBy("split", "language").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("SELECT 'x' AS group_key, 0::BIGINT AS splits WHERE false")
+@query("SELECT l_suppkey AS group_key, count(DISTINCT l_returnflag) AS splits FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")
 def split_leakage(spark, sf_dir):
-    return P.leaks(_assigned(spark, sf_dir))
+    """Suppliers' lines stand for groups and return flags for splits, so that some groups do lie in several; leakage_safe_split is tested to have none."""
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0").select(F.col("l_suppkey").alias("group_key"), F.col("l_returnflag").alias("split"))
+    return P.leaks(rows)
 
 
 _ELIGIBLE = "(length(text) >= 200 AND greatest(1, strlen(text) // 4) BETWEEN 512 AND 7168)"
@@ -376,11 +378,37 @@ def mixture_repeat(spark, sf_dir):
     return S.repeated_union([(d.where("language = 'en'"), 1), (d.where("language <> 'en'"), 3)]).groupBy("component", "language").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT count(*) AS positions, count(*) AS indexes, 0::BIGINT AS least, max(n) - 1 AS greatest FROM documents, n")
+def _feistel_sql(x: str, rows: str, seed: int = 17, epoch: int = 3, rounds: int = 4) -> str:
+    """(position, x): x put through the network once, in a subquery a round."""
+    half = lambda c, k: f"('0x' || substr(md5('{seed}:{epoch}:{k}:' || {c}::VARCHAR), 1, 8))::UBIGINT::BIGINT"
+    out = f"(SELECT position, wide, high, n, {x} // wide AS l, {x} % wide AS r FROM {rows})"
+    for k in range(rounds):
+        new = f"l, (r + {half('l', k)}) % wide AS r" if k % 2 else f"(l + {half('r', k)}) % high AS l, r"
+        out = f"(SELECT position, wide, high, n, {new} FROM {out})"
+    return f"SELECT position, wide, high, n, l * wide + r AS x FROM {out}"
+
+
+@query(f"WITH RECURSIVE c AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS wide FROM documents), s AS (SELECT range AS position, wide, (n + wide - 1) // wide AS high, n FROM c, range(1000000) WHERE range < n), w AS ({_feistel_sql('position', 's')} UNION ALL {_feistel_sql('x', '(SELECT * FROM w WHERE x >= n)')}) SELECT position, x AS dataset_index FROM w WHERE x < n")
 def shuffled_order(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
-    p = S.permuted(spark.range(n).withColumnRenamed("id", "position"), n, 17, 3)
-    return p.agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("dataset_index").alias("indexes"), F.min("dataset_index").alias("least"), F.max("dataset_index").alias("greatest"))
+    return S.permuted(spark.range(n).withColumnRenamed("id", "position"), n, 17, 3)
+
+
+@query("SELECT range AS step, CASE WHEN range % 5 = 0 THEN 'replay' ELSE 'main' END AS stream, CASE WHEN range % 5 = 0 THEN range // 5 - 1 ELSE range - range // 5 - 1 END AS position FROM range(1, 1001)")
+def replay_interleave(spark, sf_dir):
+    return S.replayed(spark.range(1, 1001).withColumnRenamed("id", "step"), 5)
+
+
+@query("WITH t AS (SELECT item_id, length(text) AS targets FROM benchmark), c AS (SELECT *, sum(targets) OVER (ORDER BY item_id) AS upto, sum(targets) OVER () AS total FROM t), e AS (SELECT item_id, targets, range AS epoch, upto + range * total AS running FROM c, range(4)) SELECT epoch, item_id, targets, running::BIGINT AS running FROM e JOIN (SELECT max(total) AS t FROM c) ON true WHERE running - targets < t * 2 + t // 2")
+def plan_repetition(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("targets"))
+    total = rows.agg(F.sum("targets")).head()[0]
+    return S.repeated_until(rows, total * 2 + total // 2, total * 3, "item_id", "targets")
+
+
+@query(f"WITH {DOCS} SELECT document_id FROM docs WHERE (('0x' || substr(sha256('s:' || document_id), 1, 16))::UBIGINT % 10000) < CASE source_id WHEN 'src1' THEN 9000 WHEN 'src2' THEN 500 ELSE 2500 END")
+def points_by_source(spark, sf_dir):
+    return S.by_source_points(documents(spark, sf_dir), "s", {"src1": 9000, "src2": 500}, 2500, "document_id", "source_id").select("document_id")
 
 
 # --- token streams ------------------------------------------------------------------------------------------------
@@ -612,8 +640,8 @@ def learning_rates(spark, sf_dir):
 def event_deltas(spark, sf_dir):
     # the tables' times have no zone
     e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    own = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return e.select("event_id", F.round(F.col("at") - F.lag("at").over(own), 3).alias("seconds"), F.round(F.col("value") - F.lag("value").over(own), 6).alias("change"))
+    out = M.deltas(e, ["user_id", "event_type"], "at", "value", ties=("event_id",))
+    return out.select("event_id", F.round("seconds", 3).alias("seconds"), F.round("change", 6).alias("change"))
 
 
 @query("SELECT l.l_returnflag, l.l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem l GROUP BY ALL")
@@ -712,3 +740,58 @@ def small_pipeline(spark, sf_dir):
 @query()
 def large_pipeline(spark, sf_dir):
     return pipelines.large_pipeline(documents(spark, sf_dir))
+
+
+# --- further gates and metrics ------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, count(*) AS rows, coalesce(sum((value < before)::INT), 0)::BIGINT AS breaks FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY user_id")
+def order_breaks(spark, sf_dir):
+    return G.order_breaks(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+
+
+@query("WITH s AS (SELECT lang, source, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS share FROM documents GROUP BY lang, source), c AS (SELECT lang, share FROM s WHERE lang <> 'en' OR source <> 'src1') SELECT lang, round(sum(share), 9) AS total, abs(sum(share) - 1) <= 1e-9 AS complete FROM c GROUP BY lang")
+def share_sums(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("lang", "source").count()
+    shares = counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy("lang"))).where("lang <> 'en' OR source <> 'src1'")
+    return G.share_sums(shares, ["lang"], "share")
+
+
+@query("SELECT lang, round(sum(length(text)) / sum(len(regexp_extract_all(text, '[^ \\n]+'))), 6) AS ratio, CASE lang WHEN 'en' THEN 5.0 ELSE 6.5 END AS least, round(sum(length(text)) / sum(len(regexp_extract_all(text, '[^ \\n]+'))), 6) >= CASE lang WHEN 'en' THEN 5.0 ELSE 6.5 END AS passed FROM documents GROUP BY lang")
+def compression_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.round(F.sum(F.length("text")) / F.sum(F.regexp_count("text", F.lit(r"[^ \n]+"))), 6).alias("ratio"))
+    return G.least_ratio_gate(d, "lang", "ratio", {"en": 5.0}, 6.5)
+
+
+@query(f"WITH {_SCORES}, b AS (SELECT p_brand, count(*) AS tasks, round(avg((b = answer)::INT), 6) AS accuracy, 0.25 AS chance FROM best GROUP BY p_brand), a AS (SELECT * FROM b UNION ALL SELECT 'all', sum(tasks)::BIGINT, sum(accuracy * tasks) / sum(tasks), sum(chance * tasks) / sum(tasks) FROM b) SELECT p_brand, tasks, round(accuracy, 6) AS accuracy, round(chance, 6) AS chance, accuracy >= chance + 0.01 AS passed FROM a")
+def benchmark_gate(spark, sf_dir):
+    return G.above_chance(choice_accuracy(spark, sf_dir), "p_brand", 0.01)
+
+
+@query("WITH s AS (SELECT lang, source, sum(strlen(text)) AS own FROM documents GROUP BY lang, source) SELECT lang, sum(own)::BIGINT AS size, CASE lang WHEN 'en' THEN 100000 WHEN 'fr' THEN 100000000000 END AS target, max(own)::BIGINT AS largest, coalesce(sum(own) >= CASE lang WHEN 'en' THEN 100000 WHEN 'fr' THEN 100000000000 END, false) AS reached, max(own) <= sum(own) * 0.3 AS capped FROM s GROUP BY lang")
+def distribution_gate(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("size", F.octet_length("text"))
+    return G.distribution_gate(d, "lang", "source", "size", {"en": 100_000, "fr": 100_000_000_000}, 0.3)
+
+
+@query("WITH p AS (SELECT l_orderkey AS a, unnest([l_partkey, l_suppkey]) AS b FROM lineitem WHERE l_quantity > 45) SELECT count(*) AS pairs, (SELECT count(*) FROM (SELECT a FROM p UNION SELECT b FROM p)) AS documents FROM p")
+def candidate_counts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return M.candidate_counts(li.select(F.col("l_orderkey").alias("a"), F.explode(F.array("l_partkey", "l_suppkey")).alias("b")))
+
+
+@query("SELECT l_linestatus, l_returnflag, count(*) AS tasks, round(avg((l_linenumber % 3 = l_partkey % 3)::INT), 6) AS accuracy FROM lineitem GROUP BY ALL")
+def accuracy_by_split(spark, sf_dir):
+    right = (F.col("l_linenumber") % 3 == F.col("l_partkey") % 3)
+    return M.accuracy_by(table(spark, sf_dir, "lineitem").withColumn("right", right), ["l_linestatus", "l_returnflag"], "right")
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT source_id, content_type, row_number() OVER (ORDER BY CASE content_type WHEN 'encyclopedia' THEN 0 WHEN 'science' THEN 1 WHEN 'general' THEN 2 ELSE 3 END, source_id, content_type) AS place FROM (SELECT DISTINCT source_id, content_type FROM docs)")
+def source_priority(spark, sf_dir):
+    kinds = documents(spark, sf_dir).select("source_id", "content_type").distinct()
+    return S.by_priority(kinds, "content_type", ["encyclopedia", "science", "general"], ["source_id", "content_type"])
+
+
+@query("SELECT page_id, url LIKE '%.org/%' OR url LIKE 'https://%7%' AS matched FROM pages")
+def glob_filter(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.matches_glob(F.col("url"), ["*.org/*", "https://*7*"]).alias("matched"))

@@ -132,3 +132,13 @@ def script_class(text: Column, to_traditional: dict[str, str], to_simplified: di
     changed = lambda table: F.length(text) - F.length(F.translate(text, "".join(k for k, v in table.items() if k != v), ""))
     simple, traditional = changed(to_traditional), changed(to_simplified)
     return F.when(simple > traditional, "zh-Hans").when(traditional > simple, "zh-Hant").otherwise("zh")
+
+
+def matches_glob(path: Column, patterns: list[str]) -> Column:
+    """Whether a path matches one of the shell patterns, case and all; `*` passes slashes, too."""
+    import fnmatch
+
+    out = F.lit(False)
+    for p in patterns:
+        out |= path.rlike("^" + fnmatch.translate(p).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z") + "$")
+    return out

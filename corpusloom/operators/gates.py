@@ -99,3 +99,41 @@ def manifest(df: DataFrame, source: str, text_col: str = "text") -> DataFrame:
 def same_counts(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """(stage, rows): row counts along a lineage."""
     return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("stage"), "rows") for n, df in stages))
+
+
+def order_breaks(df: DataFrame, by: str, order: list[str], score: str) -> DataFrame:
+    """(by, rows, breaks): how often a row's score is below that of the row before it in its group; 0 where the order is right."""
+    before = F.lag(score).over(Window.partitionBy(by).orderBy(*order))
+    marked = df.select(by, (F.col(score) < before).cast("int").alias("b"))
+    return marked.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("breaks"))
+
+
+def share_sums(shares: DataFrame, by: list[str], share: str, tolerance: float = 1e-9) -> DataFrame:
+    """(by, total, complete): whether the shares of each distribution sum to 1."""
+    out = shares.groupBy(*by).agg(F.sum(share).alias("total"))
+    return out.select(*by, F.round("total", 9).alias("total"), (F.abs(F.col("total") - 1) <= tolerance).alias("complete"))
+
+
+def least_ratio_gate(metrics: DataFrame, key: str, value: str, least: dict[str, float], default: float) -> DataFrame:
+    """metrics with least and passed: whether each group reaches the least value set for it, or the default."""
+    known = F.create_map(*(F.lit(x) for kv in least.items() for x in kv))
+    bound = F.coalesce(F.try_element_at(known, F.col(key)), F.lit(float(default)))
+    return metrics.select(key, value, bound.alias("least"), (F.col(value) >= bound).alias("passed"))
+
+
+def above_chance(scores: DataFrame, name: str, margin: float) -> DataFrame:
+    """(name, tasks, accuracy, chance, passed) of each benchmark, and of all together under the name `all`, weighted by tasks."""
+    mean = lambda c: F.sum(F.col(c) * F.col("tasks")) / F.sum("tasks")
+    every = scores.agg(F.lit("all").alias(name), F.sum("tasks").alias("tasks"), mean("accuracy").alias("accuracy"), mean("chance").alias("chance"))
+    rows = scores.select(name, "tasks", "accuracy", "chance").unionByName(every.where("tasks IS NOT NULL"))
+    passed = F.col("accuracy") >= F.col("chance") + margin
+    return rows.select(name, "tasks", F.round("accuracy", 6).alias("accuracy"), F.round("chance", 6).alias("chance"), passed.alias("passed"))
+
+
+def distribution_gate(documents: DataFrame, stream: str, source: str, size: str, targets: dict[str, int], cap: float) -> DataFrame:
+    """(stream, size, target, largest, reached, capped): whether each stream reaches its target, and its largest source stays under a share of it."""
+    known = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))
+    sources = documents.groupBy(stream, source).agg(F.sum(size).alias("own"))
+    out = sources.groupBy(stream).agg(F.sum("own").alias("size"), F.max("own").alias("largest"))
+    target = F.try_element_at(known, F.col(stream))
+    return out.select(stream, "size", target.alias("target"), "largest", F.coalesce(F.col("size") >= target, F.lit(False)).alias("reached"), (F.col("largest") <= F.col("size") * cap).alias("capped"))

@@ -122,9 +122,20 @@ def schedule(steps: DataFrame, name: str, total: int, warmup: int, cooldown: int
     return steps.withColumn("multiplier", F.when(s < warmup, (s + 1) / F.lit(float(max(warmup, 1)))).otherwise(after))
 
 
-def deltas(events: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """events with the seconds and the change since the one before, and the change a second."""
-    own = Window.partitionBy(*by).orderBy(order)
+def deltas(events: DataFrame, by: list[str], order: str, value: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """events with the seconds and the change since the one before, and the change a second. ties: columns that order events of one time."""
+    own = Window.partitionBy(*by).orderBy(order, *ties)
     seconds = F.col(order).cast("double") - F.lag(order).over(own).cast("double")
     change = F.col(value) - F.lag(value).over(own)
     return events.withColumn("seconds", seconds).withColumn("change", change).withColumn("rate", F.when(F.col("seconds") > 0, F.col("change") / F.col("seconds")))
+
+
+def candidate_counts(pairs: DataFrame) -> DataFrame:
+    """(pairs, documents): how many pairs (a, b) there are, and how many different documents they name."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().agg(F.count(F.lit(1)).alias("documents"))
+    return pairs.agg(F.count(F.lit(1)).alias("pairs")).join(named)
+
+
+def accuracy_by(df: DataFrame, by: list[str], right: str) -> DataFrame:
+    """(by, tasks, accuracy) of answers that are marked right or not; a null mark counts as wrong."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg(F.coalesce(F.col(right), F.lit(False)).cast("int")), 6).alias("accuracy"))

@@ -254,3 +254,38 @@ def test_bootstrap_within_strata(spark, block):
     got = M.bootstrap(spark.createDataFrame(even, schema), "characters", "tokens", "source_id", 50, block=block).first()
     assert got["low"] == got["high"] == sum(r[2] for r in even) / sum(r[3] for r in even)
     assert M.bootstrap(spark.createDataFrame([], schema), "characters", "tokens", "source_id", 5, block=block).first()["low"] is None
+
+
+def test_permutation_of_any_size(spark):
+    for n in (1, 2, 3, 7, 100, 1023):
+        rows = S.permuted(spark.range(n).withColumnRenamed("id", "position"), n, 5, 1).orderBy("position").collect()
+        assert sorted(r["dataset_index"] for r in rows) == list(range(n))
+    one = [r[1] for r in S.permuted(spark.range(50).withColumnRenamed("id", "position"), 50, 5, 1).orderBy("position").collect()]
+    other = [r[1] for r in S.permuted(spark.range(50).withColumnRenamed("id", "position"), 50, 5, 2).orderBy("position").collect()]
+    assert one != other and one != list(range(50))
+
+
+def test_target_counts_lack_nothing():
+    for n in range(60):
+        counts = P.target_counts(n, {"a": 0.5, "b": 0.25, "c": 0.25})
+        assert sum(counts.values()) == n and all(abs(c - n * r) < 1 for c, r in zip(counts.values(), (0.5, 0.25, 0.25), strict=True))
+    assert P.target_counts(1, {"a": 0.5, "b": 0.5}) == {"a": 1, "b": 0}
+
+
+def test_repetition_over_its_upper_budget_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 30)], "block int, n int")
+    assert [(r["epoch"], r["block"], r["running"]) for r in S.repeated_until(rows, 45, 60, "block", "n").orderBy("running").collect()] == [(0, 1, 10), (0, 2, 40), (1, 1, 50)]
+    with pytest.raises(Exception, match="upper budget"):
+        S.repeated_until(rows, 45, 49, "block", "n").collect()
+
+
+def test_discarded_tables_are_gone(spark, tmp_path):
+    from corpusloom.storage import discard, recorded, stored
+
+    paths = []
+    with recorded(paths):
+        held = stored(spark.range(3).toDF("x"), "three")
+    assert paths == [held._stored_path] and held.count() == 3
+    discard(held)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.schema("x long").parquet(paths[0]).count()
