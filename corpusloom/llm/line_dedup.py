@@ -214,7 +214,8 @@ def near_lines(lines: DataFrame, first: DataFrame, edits: int) -> DataFrame:
 
 def _rare_late(hot: DataFrame, edits: int) -> DataFrame:
     """(late) of hot lines that share one of the rarest edits + 1 parts of the shorter one and are near, where the later one isn't settled."""
-    sized = hot.select("h", "line", F.length("line").alias("length"))
+    # dealt anew: each line becomes a few hundred rows, which the few files of hot would leave to a few tasks
+    sized = hot.repartition("h").select("h", "line", F.length("line").alias("length"))
     line, length = F.col("line"), F.col("length")
     own = sized.select("h", F.explode(fine_keys(line, length, 0, 0, edits)).alias("part"))
     counts = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
