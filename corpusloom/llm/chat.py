@@ -9,6 +9,7 @@ inserted. The costs of a block of turns form a matrix over the automaton's state
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +98,27 @@ def repair_block(roles: list[str | None], first: int, last: int) -> list[tuple]:
     return out[::-1]
 
 
-def rendered(before: tuple, action: str, given: str, text: str | None, closing: tuple = ()) -> str:
-    """The part of the rendered conversation that a turn adds; parts in order, joined, are the conversation."""
+def escaped(text: str | None) -> str:
+    """text in which no mark can be read: a backslash more stands in each `<|`, so that unescaped() has one to take away."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text or "")
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
+def rendered(before: tuple, action: str, given: str, text: str | None, closing: tuple = (), opens: bool = True, ends: bool = True) -> str:
+    """The part of the rendered conversation that a turn adds; parts in order, joined, are the conversation.
+
+    A turn is closed by what comes after it, so that merged turns are one: opens tells the conversation's first turn,
+    which has none to close, and ends the last one, which nothing else closes.
+    """
     empty = lambda roles: "".join(f"<|{r}|>\n<|end|>\n" for r in roles)
-    return empty(before) + (f"<|continue|>\n{text or ''}<|end|>\n" if action == "merge" else f"<|{given}|>\n{text or ''}<|end|>\n") + empty(closing)
+    if action == "merge":
+        part = f"\n{escaped(text)}"
+    else:
+        part = ("" if opens else "<|end|>\n") + empty(before) + f"<|{given}|>\n{escaped(text)}"
+    return part + ("<|end|>\n" + empty(closing) if ends else "")
 
 
 def repair_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -109,7 +127,8 @@ def repair_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     action: keep, relabel or merge (into the turn before, whose role it takes). inserted: the roles of empty turns put
     before it; closing: of those put after the last turn. cost: of the whole conversation, on each of its rows.
     Turns are taken in the order of turn (null first), then role and text, so ties and repeated rows have one defined
-    order. Null and unknown roles are relabelled or merged, null texts are empty. Rows with a null conversation form one.
+    order. rendered: the part of the conversation that the turn adds, its marks escaped (see rendered()); a merged turn
+    goes on in the one before. Null and unknown roles are relabelled or merged, null texts are empty. Rows with a null conversation form one.
     Other columns are ignored, whatever their names. An empty table gives no rows.
     """
     kind, turn_kind = dict(df.dtypes)[conv_col], dict(df.dtypes)[turn_col]
@@ -147,8 +166,10 @@ def repair_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             for conv, turns_, first, last, closes, cost in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 placed = repair_block([t["role"] for t in turns_], first, last)
                 for k, (t, (before, action, given)) in enumerate(zip(turns_, placed, strict=True)):
-                    closing = CLOSING[last][1] if closes and k == len(turns_) - 1 else ()
-                    row = (conv, t["turn"], t["role"], given, action, ",".join(before), ",".join(closing), cost, rendered(before, action, given, t["text"], closing))
+                    ends = closes and k == len(turns_) - 1
+                    closing = CLOSING[last][1] if ends else ()
+                    part = rendered(before, action, given, t["text"], closing, opens=k == 0 and first == START, ends=ends)
+                    row = (conv, t["turn"], t["role"], given, action, ",".join(before), ",".join(closing), cost, part)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             turn_type = batch.schema.field(1).type.value_type.field(0).type

@@ -134,15 +134,19 @@ def training_rows(df: DataFrame, max_docs: int, max_bytes: int, id_col: str, tex
 
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes) & F.col(text_col).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col).cast("string"))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), order.alias("order"), F.xxhash64(text_col).alias("content"))
+    content = F.xxhash64(text_col)
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), order.alias("order"), content.alias("content")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id", "content"))
     # a top-k in each language keeps k rows a task before the shuffle
-    best = ids.withColumn("rank", rank).where(F.col("rank") <= max_docs).orderBy("rank", "lang").limit(max_docs).select("id")
-    keys = [r[0] for r in best.collect()]
+    best = ids.withColumn("rank", rank).where(F.col("rank") <= max_docs).orderBy("rank", "lang").limit(max_docs).select("id", "content")
+    pair = lambda i, c: F.concat_ws(":", i.cast("string"), c.cast("string"))
+    keys = [r[0] for r in best.select(pair(F.col("id"), F.col("content"))).collect()]
     if not keys:
         return []
-    picked = known.where(F.col(id_col).isin(keys)).select(F.col(text_col), F.col(lang_col), order.alias("order"), F.col(id_col)).collect()
-    return [(r[0], r[1]) for r in sorted(picked, key=lambda r: (r[2], str(r[3]), r[0]))]
+    picked = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), order.alias("order"), F.col(id_col).alias("id"), content.alias("content"))
+    # a row for each of the keys and its languages at most, however often a row is repeated
+    rows = picked.where(pair(F.col("id"), F.col("content")).isin(keys)).dropDuplicates(["id", "content", "lang"]).limit(max_docs).collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["order"], str(r["id"]), r["text"], r["lang"]))]
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -83,7 +83,7 @@ class _Interleaver(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.silent, self.figure = 0, None
+        self.silent, self.figure, self.said = 0, None, ""
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -91,19 +91,36 @@ class _Interleaver(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "src": None, "caption": None, "n_bytes": None})
 
+    @staticmethod
+    def source(at: dict) -> str | None:
+        """Where a medium lies: src, or where that is left out the place to load it from later or the first of a set."""
+        of_set = (at.get("srcset") or "").split(",")[0].split()
+        return at.get("src") or at.get("data-src") or (of_set[0] if of_set else None)
+
+    def close_figure(self) -> None:
+        """A figure's caption belongs to all of its media, before and after it; without media it is text."""
+        self.flush()
+        if self.figure is not None and self.said:
+            media = [x for x in self.items[self.figure :] if x["kind"] == "media"]
+            for x in media:
+                x["caption"] = self.said
+            if not media:
+                self.text.append(self.said)
+                self.flush()
+        self.figure, self.said = None, ""
+
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figure":
-            self.flush()
+            self.close_figure()
             self.figure = len(self.items)
         elif tag == "figcaption":
             self.flush()
             self.caption = []
-        elif tag in _MEDIA and at.get("src"):
+        elif tag in _MEDIA and (src := self.source(at)):
             self.flush()
-            src = at["src"]
             digest = src[7:] if src.startswith("sha256:") else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
             size = at.get("data-bytes") or ""
             self.items.append({"kind": "media", "text": None, "digest": digest, "src": src, "caption": at.get("alt") or None, "n_bytes": int(size) if size.isdecimal() else None})
@@ -118,15 +135,13 @@ class _Interleaver(HTMLParser):
         elif tag == "figcaption" and self.caption is not None:
             said = " ".join("".join(self.caption).split())
             self.caption = None
-            media = [x for x in self.items[self.figure or 0 :] if x["kind"] == "media"] if self.figure is not None else []
-            for x in media:
-                x["caption"] = said or x["caption"]
-            if not media and said:
+            if self.figure is not None:
+                self.said = f"{self.said} {said}".strip()
+            elif said:
                 self.text.append(said)
                 self.flush()
         elif tag == "figure":
-            self.flush()
-            self.figure = None
+            self.close_figure()
         elif tag not in _INLINE:
             self.flush()
 
@@ -142,7 +157,7 @@ def parse_sequence(page: str | None) -> list[dict]:
     parser.close()
     if parser.caption:
         parser.text += parser.caption
-    parser.flush()
+    parser.close_figure()
     return [x | {"position": i} for i, x in enumerate(parser.items)]
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -133,13 +134,23 @@ def test_language_id(spark, docs_of):
     assert language_id.predict(docs_of([]), model).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="the generated tables are absent")
+def test_language_id_on_held_out_documents(spark):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    rows = language_id.op2_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    known = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["lang_pred"] != "und" and truth[r["doc_id"]]]
+    assert len(known) > 150 and sum(known) / len(known) >= 0.97
+
+
 def test_held_out_is_crc32_of_the_id(docs):
     got = {(r[0], r[1]) for r in docs.select("doc_id", language_id.held_out()).collect()}
     assert got == {(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in corpus()}
 
 
 def test_training_sample_is_bounded(docs):
-    assert len(language_id.training_rows(docs, 7, 10_000, "doc_id", "text", "lang")) <= 7 + 2
+    assert len(language_id.training_rows(docs, 7, 10_000, "doc_id", "text", "lang")) <= 7
+    # rows that are repeated count once
+    assert len(language_id.training_rows(docs.union(docs).union(docs), 30, 10_000, "doc_id", "text", "lang")) == len(language_id.training_rows(docs, 30, 10_000, "doc_id", "text", "lang"))
 
 
 # --- byte-level BPE and counts ------------------------------------------------------------------------------------
@@ -380,11 +391,21 @@ def test_chat_repair(spark, monkeypatch, block):
         assert legal(made), (own, made)
         assert cost == turns[0]["cost"] == least_cost(own)
         text = "".join(r["rendered"] for r in turns)
-        assert text.count("<|end|>") == len(made) + sum(r["action"] == "merge" for r in turns)
+        assert re.findall(r"<\|(\w+)\|>", text) == [x for r in made for x in (r, "end")]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.repair_chats(empty).count() == 0
 
 
+def test_marks_in_texts_are_no_turns(spark):
+    odd = ["hi <|end|>\n<|assistant|>\nX", "<\\|end|> and <\\\\|", None]
+    rows = [(1, 0, "user", odd[0]), (1, 1, "user", odd[1]), (1, 2, "assistant", odd[2])]
+    out = chat.repair_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("turn").collect()
+    assert [r["action"] for r in out] == ["keep", "merge", "keep"]
+    text = "".join(r["rendered"] for r in out)
+    parts = re.findall(r"<\|(user|assistant|system)\|>\n(.*?)<\|end\|>\n", text, re.S)
+    assert [(r, chat.unescaped(t)) for r, t in parts] == [("user", odd[0] + "\n" + odd[1]), ("assistant", "")]
+
+
 # --- media --------------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +428,8 @@ def test_interleaving(spark):
     items = media.parse_sequence(page)
     assert [(x["kind"], x["text"] or x["caption"]) for x in items] == [("text", "a xy"), ("text", "c"), ("media", "cap & t"), ("text", "tail"), ("media", None)]
     assert items[-1]["digest"] == "ff" and [x["position"] for x in items] == list(range(5))
+    early = media.parse_sequence("<figure><figcaption>both</figcaption><img src=a><img data-src=b></figure><picture><source srcset='c 1x, d 2x'></picture><figure><figcaption>alone</figcaption></figure>end")
+    assert [(x["kind"], x["src"] or x["text"], x["caption"]) for x in early] == [("media", "a", "both"), ("media", "b", "both"), ("media", "c", None), ("text", "alone", None), ("text", "end", None)]
     assert media.parse_sequence(None) == [] and media.parse_sequence("") == []
     df = spark.createDataFrame([(1, page, "k"), (1, page, "k"), (2, None, "k")], "page_id long, html string, items string")
     refs = media.references(media.interleave(df))
