@@ -79,7 +79,7 @@ def prefix_length(n, percent: int):
 
 
 def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """The product of the incidence matrix with its transpose: how many columns each two rows share.
+    """The product of the incidence matrix with its transpose: how many columns each two rows share, 0 for a row with itself.
 
     Columns that one row alone holds add nothing and are left out. Columns that few rows hold add their pairs; the
     others are multiplied as dense pieces.
@@ -107,6 +107,7 @@ def overlaps(rows: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((b, len(part)), np.float32)
         dense[row[entry], np.repeat(np.arange(len(part)), size)] = 1
         out += (dense @ dense.T).astype(np.int64)
+    np.fill_diagonal(out, 0)
     return out
 
 
