@@ -14,12 +14,14 @@ from corpusloom.storage import stored
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Bits of a value that the sketch keeps: a bucket is narrower than 1/32 of its values.
-PRECISION = 6
-#: (metric, weight of the interquartile range, least distance of the fence from the quartile)
-FENCES = (("chars_per_100_words", 4, 250), ("symbols_per_1000_chars", 4, 200), ("dup_lines_per_1000", 4, 500))
-#: Groups with fewer documents take the thresholds of their language, and those of all documents if that is small too.
-LEAST_DOCS = 100
+#: Bits of a value that the sketch keeps: a bucket is narrower than 1/127 of its values.
+PRECISION = 8
+#: (metric, weight of the distance between the median and the outer fifth, least distance of the fence from that fifth).
+#: The least distance is what a measure may vary by where four fifths of a group have the same value, mostly 0.
+FENCES = (("chars_per_100_words", 8, 20), ("symbols_per_1000_chars", 8, 200), ("dup_lines_per_1000", 8, 500))
+#: A group's quantiles are drawn towards those of its language, and these towards those of all documents, as if this many
+#: further documents had them: the fewer a group has, the more.
+PRIOR_DOCS = 100
 #: Groups up to which their thresholds (a few numbers each) are sent to all tasks.
 SMALL_GROUPS = 50_000
 
@@ -96,34 +98,40 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, by: list[str], docs: str) -> DataFrame:
-    """(by, metric, q25, q75, docs): the buckets in which the document of rank ceil(n / 4) and ceil(3 n / 4) lies."""
+def fifths(sketch: DataFrame, by: list[str], docs: str) -> DataFrame:
+    """(by, metric, q20, q50, q80, docs): the buckets in which the documents of rank ceil(n / 5), ceil(n / 2) and ceil(4 n / 5) lie."""
     group = Window.partitionBy(*by, "metric")
     ranked = sketch.select(*by, "metric", "bucket", F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("rank"), F.sum("n").over(group).alias("all"))
-    at = lambda k: F.min(F.when(4 * F.col("rank") >= k * F.col("all"), F.col("bucket")))
-    return ranked.groupBy(*by, "metric").agg(at(1).alias("q25"), at(3).alias("q75"), F.max("all").alias(docs))
+    at = lambda k: F.min(F.when(10 * F.col("rank") >= k * F.col("all"), F.col("bucket")))
+    return ranked.groupBy(*by, "metric").agg(at(2).alias("q20"), at(5).alias("q50"), at(8).alias("q80"), F.max("all").alias(docs))
 
 
 def thresholds(facts: DataFrame) -> DataFrame:
     """One row a (lang, source) group: <metric>_low and <metric>_high, beyond which a document is out of its group's range.
 
-    The fences stand the given number of interquartile ranges from the quartiles, and never nearer than the least
-    distance. Only documents that pass the base rules count. Null languages and sources are groups of their own.
+    The fences stand the given number of distances between the median and the outer fifth beyond that fifth, and never
+    nearer than the least distance. Only documents that pass the base rules count. Null languages and sources are groups
+    of their own. Fifths are drawn towards those of the language and of all documents as PRIOR_DOCS says, in whole
+    numbers.
     """
     fine = sketches(facts.where(~F.col("base_failed")), ["lang", "source"])
     by_lang = merged(fine, ["lang"])
     by_all = merged(by_lang, [])
-    f = quartiles(fine, ["lang", "source"], "docs")
-    m = quartiles(by_lang, ["lang"], "docs_lang")
-    a = quartiles(by_all, [], "docs_all")
+    f = fifths(fine, ["lang", "source"], "docs")
+    m = fifths(by_lang, ["lang"], "docs")
+    a = fifths(by_all, [], "docs")
     f, m, a = (x.select(*(F.col(c).alias(f"{p}_{c}") for c in x.columns)) for p, x in (("f", f), ("m", m), ("a", a)))
     joined = f.join(m, f.f_lang.eqNullSafe(m.m_lang) & (f.f_metric == m.m_metric)).join(a, f.f_metric == a.a_metric)
-    pick = lambda q: F.when(F.col("f_docs") >= LEAST_DOCS, F.col(f"f_{q}")).when(F.col("m_docs_lang") >= LEAST_DOCS, F.col(f"m_{q}")).otherwise(F.col(f"a_{q}"))
-    out = joined.select(F.col("f_lang").alias("lang"), F.col("f_source").alias("source"), F.col("f_metric").alias("metric"), pick("q25").alias("q25"), pick("q75").alias("q75"))
+    marks = ("q20", "q50", "q80")
+    drawn = lambda own, other, q: F.expr(f"({own}_docs * {own}_{q} + {PRIOR_DOCS} * {other}_{q}) div ({own}_docs + {PRIOR_DOCS})")
+    for q in marks:
+        joined = joined.withColumn(f"m_{q}", drawn("m", "a", q))
+    out = joined.select(F.col("f_lang").alias("lang"), F.col("f_source").alias("source"), F.col("f_metric").alias("metric"), *(drawn("f", "m", q).alias(q) for q in marks))
     aggs = []
     for name, weight, least in FENCES:
-        reach = F.greatest(weight * (F.col("q75") - F.col("q25")), F.lit(least))
-        aggs += [F.max(F.when(F.col("metric") == name, F.col("q25") - reach)).alias(f"{name}_low"), F.max(F.when(F.col("metric") == name, F.col("q75") + reach)).alias(f"{name}_high")]
+        low = F.col("q20") - F.greatest(weight * (F.col("q50") - F.col("q20")), F.lit(least))
+        high = F.col("q80") + F.greatest(weight * (F.col("q80") - F.col("q50")), F.lit(least))
+        aggs += [F.max(F.when(F.col("metric") == name, low)).alias(f"{name}_low"), F.max(F.when(F.col("metric") == name, high)).alias(f"{name}_high")]
     return out.groupBy("lang", "source").agg(*aggs)
 
 
@@ -173,14 +181,17 @@ def _bucket_sql(value: str) -> str:
 
 def _oracle() -> str:
     space = r"[\x20\x09-\x0D]"
-    low_high = ", ".join(f"max(CASE WHEN metric = '{n}' THEN q25 - greatest({w} * (q75 - q25), {m}) END) AS {n}_low, max(CASE WHEN metric = '{n}' THEN q75 + greatest({w} * (q75 - q25), {m}) END) AS {n}_high" for n, w, m in FENCES)
+    low_high = ", ".join(
+        f"max(CASE WHEN metric = '{n}' THEN q20 - greatest({w} * (q50 - q20), {m}) END) AS {n}_low, max(CASE WHEN metric = '{n}' THEN q80 + greatest({w} * (q80 - q50), {m}) END) AS {n}_high" for n, w, m in FENCES
+    )
     inside = " AND ".join(f"coalesce(b_{n} BETWEEN {n}_low AND {n}_high, true)" for n, _, _ in FENCES)
 
-    def quart(name: str, source: str, by: str) -> str:
+    def fifth(name: str, source: str, by: str) -> str:
         keys = f"{by}, metric" if by else "metric"
-        return f"{name} AS (SELECT {keys}, min(CASE WHEN 4 * rank >= total THEN bucket END) AS q25, min(CASE WHEN 4 * rank >= 3 * total THEN bucket END) AS q75, max(total) AS docs FROM (SELECT {keys}, bucket, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS rank, sum(n) OVER (PARTITION BY {keys}) AS total FROM {source}) GROUP BY {keys})"
+        at = ", ".join(f"min(CASE WHEN 10 * rank >= {k} * total THEN bucket END) AS q{k}0" for k in (2, 5, 8))
+        return f"{name} AS (SELECT {keys}, {at}, max(total)::BIGINT AS docs FROM (SELECT {keys}, bucket, sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS rank, sum(n) OVER (PARTITION BY {keys}) AS total FROM {source}) GROUP BY {keys})"
 
-    pick = lambda q: f"CASE WHEN f.docs >= {LEAST_DOCS} THEN f.{q} WHEN m.docs >= {LEAST_DOCS} THEN m.{q} ELSE a.{q} END AS {q}"
+    drawn = lambda own, other: ", ".join(f"({own}.docs * {own}.{q} + {PRIOR_DOCS} * {other}.{q}) // ({own}.docs + {PRIOR_DOCS}) AS {q}" for q in ("q20", "q50", "q80"))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{space}', '', 'g') <> '') AS lines FROM documents),
@@ -192,8 +203,9 @@ f0 AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regex
 f1 AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS v1, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS v2, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS v3 FROM f0),
 facts AS (SELECT *, {_bucket_sql("v1")} AS b_{FENCES[0][0]}, {_bucket_sql("v2")} AS b_{FENCES[1][0]}, {_bucket_sql("v3")} AS b_{FENCES[2][0]} FROM f1),
 fine AS (SELECT lang, source, metric, bucket, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT lang, source, '{n}' AS metric, b_{n} AS bucket FROM facts WHERE NOT base_failed" for n, _, _ in FENCES)}) GROUP BY ALL),
-{quart("f", "fine", "lang, source")}, {quart("m", "(SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL)", "lang")}, {quart("a", "(SELECT metric, bucket, sum(n) AS n FROM fine GROUP BY ALL)", "")},
-lim AS (SELECT lang, source, {low_high} FROM (SELECT f.lang, f.source, f.metric, {pick("q25")}, {pick("q75")} FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.metric = m.metric JOIN a ON a.metric = f.metric) GROUP BY lang, source)
+{fifth("f", "fine", "lang, source")}, {fifth("m0", "(SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL)", "lang")}, {fifth("a", "(SELECT metric, bucket, sum(n) AS n FROM fine GROUP BY ALL)", "")},
+m AS (SELECT m0.lang, m0.metric, {drawn("m0", "a")} FROM m0 JOIN a ON a.metric = m0.metric),
+lim AS (SELECT lang, source, {low_high} FROM (SELECT f.lang, f.source, f.metric, {drawn("f", "m")} FROM f JOIN m ON f.lang IS NOT DISTINCT FROM m.lang AND f.metric = m.metric) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
 FROM facts LEFT JOIN lim ON facts.lang IS NOT DISTINCT FROM lim.lang AND facts.source IS NOT DISTINCT FROM lim.source
 """

@@ -30,13 +30,15 @@ def quality_brute(rows):
             for key in ((lang, source), (lang,), ()):
                 groups[key].append(values)
 
+    def marks(key, k):
+        own = sorted(v[k] for v in groups[key])
+        at = [own[-(-j * len(own) // 10) - 1] for j in (2, 5, 8)]
+        return at if key == () else [(len(own) * q + quality.PRIOR_DOCS * other) // (len(own) + quality.PRIOR_DOCS) for q, other in zip(at, marks(key[:-1], k), strict=True)]
+
     def fence(lang, source, k):
-        for key in ((lang, source), (lang,), ()):
-            if len(groups[key]) >= quality.LEAST_DOCS or key == ():
-                own = sorted(v[k] for v in groups[key])
-                q25, q75 = own[-(-len(own) // 4) - 1], own[-(-3 * len(own) // 4) - 1]
-                reach = max(quality.FENCES[k][1] * (q75 - q25), quality.FENCES[k][2])
-                return q25 - reach, q75 + reach
+        q20, q50, q80 = marks((lang, source), k)
+        _, weight, least = quality.FENCES[k]
+        return q20 - max(weight * (q50 - q20), least), q80 + max(weight * (q80 - q50), least)
 
     return [row for row, failed, values in facts if not failed and all(lo <= v <= hi for k, v in enumerate(values) for lo, hi in [fence(row[2], row[3], k)])]
 
