@@ -164,20 +164,23 @@ def parse_sequence(page: str | None) -> list[dict]:
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("src", pa.string()), ("caption", pa.string()), ("n_bytes", pa.int64())])
 
 
-def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, items): for each page its ordered texts and media references. One row a row of pages; see parse_sequence()."""
+def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, items, kept columns): for each page its ordered texts and media references. One row a row of pages; see parse_sequence()."""
 
     def run(parts):
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(x) for x in batch.column(1).to_pylist()], pa.list_(_ITEM))], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(x) for x in batch.column(1).to_pylist()], pa.list_(_ITEM)), *batch.columns[2:]], ["id", "items", *batch.schema.names[2:]])
 
-    kind = dict(pages.dtypes)[id_col]
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, items array<struct<position:int,kind:string,text:string,digest:string,src:string,caption:string,n_bytes:long>>").withColumnRenamed("id", id_col)
+    kinds = dict(pages.dtypes)
+    names = {c: f"keep_{c}" for c in keep}
+    own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), *(F.col(c).alias(n) for c, n in names.items()))
+    schema = [f"id {kinds[id_col]}", "items array<struct<position:int,kind:string,text:string,digest:string,src:string,caption:string,n_bytes:long>>", *(f"{n} {kinds[c]}" for c, n in names.items())]
+    return own.mapInArrow(run, ", ".join(schema)).withColumnsRenamed({"id": id_col} | {n: c for c, n in names.items()})
 
 
-def references(sequences: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """One row a media reference, with its position in the sequence and its caption."""
-    return sequences.select(id_col, F.explode("items").alias("item")).where("item.kind = 'media'").select(id_col, "item.position", "item.digest", "item.caption", "item.n_bytes")
+def references(sequences: DataFrame, id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a media reference, with its position in the sequence, its caption and the columns to keep."""
+    return sequences.select(id_col, *keep, F.explode(F.expr("filter(items, x -> x.kind = 'media')")).alias("item")).select(id_col, *keep, "item.position", "item.digest", "item.caption", "item.n_bytes")
 
 
 def read_back(media: DataFrame, digest_col: str = "digest", media_col: str = "media") -> DataFrame:
@@ -203,8 +206,16 @@ def resolve(refs: DataFrame, resolved: DataFrame) -> DataFrame:
     return refs.join(resolved, "digest", "left")
 
 
+def illustrated(text: str, digest: str, n_bytes: int) -> str:
+    """A page of a paragraph a line of the text, with a figure amid them."""
+    lines = [f"<p>{html.escape(x, quote=False)}</p>" for x in text.split("\n")]
+    middle = (len(lines) + 1) // 2
+    figure = f'<figure><img src="sha256:{digest}" data-bytes="{n_bytes}"><figcaption>{n_bytes} bytes</figcaption></figure>'
+    return "".join(["<article>", *lines[:middle], figure, *lines[middle:], "</article>"])
+
+
 def illustrated_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, html, digest, media): a page a document that refers by digest to the document's bytes, stored as a picture.
+    """(id, html, digest, media): a page a document, of its whole text and a reference by digest to its bytes, stored as a picture.
 
     media is null where the same task has stored the same bytes before. A null text is an empty one.
     """
@@ -217,8 +228,7 @@ def illustrated_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 data = text or b""
                 picture = write_png(padded(data))
                 digest = hashlib.sha256(picture).hexdigest()
-                title = html.escape(data[:48].decode("utf-8", "ignore"))
-                pages.append(f'<article><h1>{title}</h1><figure><img src="sha256:{digest}" data-bytes="{len(data)}"><figcaption>{len(data)} bytes</figcaption></figure></article>')
+                pages.append(illustrated(data.decode("utf-8", "replace"), digest, len(data)))
                 digests.append(digest)
                 media.append(None if digest in seen else picture)
                 if len(seen) < _REMEMBERED:
@@ -230,7 +240,11 @@ def illustrated_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = stored(illustrated_pages(table(spark, sf_dir, "documents")), "media")
-    refs = references(interleave(kept, "doc_id"), "doc_id")
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"]
+    """Beside the contract's columns: where the picture stands in its sequence, its caption, and how many texts the sequence has, with the digest of them joined by one space."""
+    sequences = interleave(illustrated_pages(table(spark, sf_dir, "documents")), "doc_id", keep=("digest", "media"))
+    texts = F.expr("transform(filter(items, x -> x.kind = 'text'), x -> x.text)")
+    # the texts' digest is all that is kept of them: payloads are stored once, pages and texts not at all
+    kept = stored(sequences.select("doc_id", F.size(texts).cast("long").alias("n_texts"), F.sha2(F.array_join(texts, " "), 256).alias("texts_sha256"), F.expr("filter(items, x -> x.kind = 'media')").alias("items"), "digest", "media"), "media")
+    refs = references(kept, "doc_id", keep=("n_texts", "texts_sha256"))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts", "texts_sha256"]
     return resolve(refs, read_back(kept)).select(*columns)

@@ -409,17 +409,20 @@ def test_marks_in_texts_are_no_turns(spark):
 # --- media --------------------------------------------------------------------------------------------------------
 
 
-def test_media_round_trip(docs, empty):
-    kept = media.stored(media.illustrated_pages(docs), "media")
-    refs = media.references(media.interleave(kept, "doc_id"), "doc_id")
-    got = media.resolve(refs, media.read_back(kept)).collect()
+def test_media_round_trip(spark, docs, empty, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = media.op7_media(spark, str(tmp_path)).collect()
     want = []
     for i, t, _, _ in corpus():
         data = (t or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
-        want.append((i, len(data), len(payload), sha(payload), zlib.crc32(payload[-64:])))
-    assert sorted(((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(r["media_sha256"] == r["digest"] and r["position"] == int(r["n_bytes"] > 0 and bool(r["doc_id"] != 2)) for r in got)
+        paragraphs = [" ".join(x.split()) for x in (t or "").split("\n")]
+        before = sum(map(bool, paragraphs[: (len(paragraphs) + 1) // 2]))
+        texts = [x for x in paragraphs if x]
+        want.append((i, len(data), len(payload), sha(payload), zlib.crc32(payload[-64:]), f"{len(data)} bytes", before, len(texts), sha(" ".join(texts).encode())))
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "caption", "position", "n_texts", "texts_sha256")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(want, key=repr)
+    assert len({(r["payload_sha256"], r["media_sha256"], r["media_bytes"], r["feature"]) for r in got}) == len({r["payload_sha256"] for r in got})
     assert media.illustrated_pages(empty).count() == 0
 
 
