@@ -23,6 +23,8 @@ _SILENT = {"script", "style", "noscript", "template"}
 _INLINE = {"a", "abbr", "b", "em", "i", "small", "span", "strong", "sub", "sup", "u", "code", "q", "s", "mark"}
 #: Digests of payloads that a task remembers, so as not to store copies again; beyond them it stores some again, which is harmless.
 _REMEMBERED = 200_000
+#: Rows that a worker handles at once.
+_SLICE = 256
 
 
 def padded(data: bytes) -> bytes:
@@ -164,11 +166,18 @@ def parse_sequence(page: str | None) -> list[dict]:
 _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("src", pa.string()), ("caption", pa.string()), ("n_bytes", pa.int64())])
 
 
+def _slices(parts):
+    """The batches in slices of few rows, so that a worker holds few texts and pictures at once."""
+    for batch in parts:
+        for start in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(start, _SLICE)
+
+
 def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, items, kept columns): for each page its ordered texts and media references. One row a row of pages; see parse_sequence()."""
 
     def run(parts):
-        for batch in parts:
+        for batch in _slices(parts):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(x) for x in batch.column(1).to_pylist()], pa.list_(_ITEM)), *batch.columns[2:]], ["id", "items", *batch.schema.names[2:]])
 
     kinds = dict(pages.dtypes)
@@ -187,7 +196,7 @@ def read_back(media: DataFrame, digest_col: str = "digest", media_col: str = "me
     """A row a digest: what the stored bytes hold, and features of them. A stored form that doesn't match its digest is an error."""
 
     def run(parts):
-        for batch in parts:
+        for batch in _slices(parts):
             rows = []
             for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 payload, own = read_png(data), hashlib.sha256(data).hexdigest()
@@ -222,7 +231,7 @@ def illustrated_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(parts):
         seen: set[str] = set()
-        for batch in parts:
+        for batch in _slices(parts):
             pages, digests, media = [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 data = text or b""
