@@ -287,10 +287,10 @@ def split_counts(spark, sf_dir):
     return _assigned(spark, sf_dir).join(documents(spark, sf_dir).select("document_id", "language"), "document_id").groupBy("split", "language").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("SELECT l_suppkey AS group_key, count(DISTINCT l_returnflag) AS splits FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY l_suppkey HAVING count(DISTINCT l_returnflag) > 1")
+@query("SELECT l_orderkey AS group_key, count(DISTINCT l_returnflag) AS splits FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1")
 def split_leakage(spark, sf_dir):
-    """Suppliers' lines stand for groups and return flags for splits, so that some groups do lie in several; leakage_safe_split is tested to have none."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 16 = 0").select(F.col("l_suppkey").alias("group_key"), F.col("l_returnflag").alias("split"))
+    """Orders stand for groups and return flags for splits, so that some groups do lie in several and some don't; leakage_safe_split is tested to have none."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_key"), F.col("l_returnflag").alias("split"))
     return P.leaks(rows)
 
 
@@ -482,9 +482,9 @@ def shard_rollover(spark, sf_dir):
 @query()
 def binary_round_trip(spark, sf_dir):
     """Token shards as bytes, read back: documents and tokens of each shard."""
-    sizes = _tokens(spark, sf_dir).select("document_id", "source_id", "input_index", F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.least(t, F.lit(65_535))).alias("tokens"))
+    sizes = _tokens(spark, sf_dir).select("document_id", "source_id", "input_index", F.size("tokens").alias("n"), "tokens")
     shards = T.next_fit(sizes.drop("tokens"), "n", 20_000, ["source_id"], ["input_index"]).join(sizes.select("document_id", "tokens"), "document_id").withColumn("key", F.concat_ws("/", "source_id", F.col("shard").cast("string")))
-    back = writers.read_token_bytes(writers.token_bytes(shards, "tokens", "key", "input_index"))
+    back = writers.read_token_bytes(writers.token_bytes(shards, "tokens", "key", "input_index", width=4), width=4)
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("tokens")).alias("tokens"))
 
 

@@ -10,6 +10,7 @@ import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from corpusloom import schema
@@ -155,6 +156,14 @@ def test_token_bytes_round_trip(spark):
     assert [r["tokens"] for r in back] == [[2, 5, 3], [2, 3], [2, 65535, 3]]
 
 
+def test_wide_token_ids(spark):
+    df = spark.createDataFrame([("x", 0, [65_535, 65_536]), ("x", 1, []), ("x", 2, [2**32 - 1])], "shard string, i long, tokens array<bigint>")
+    back = writers.read_token_bytes(writers.token_bytes(df, "tokens", "shard", "i", width=4), width=4).orderBy("document").collect()
+    assert [list(r["tokens"]) for r in back] == [[65_535, 65_536], [], [2**32 - 1]]
+    with pytest.raises(PythonException, match="do not fit"):
+        writers.token_bytes(df, "tokens", "shard", "i").collect()
+
+
 def test_conversations(spark):
     def valid(*roles, text="x"):
         df = spark.createDataFrame([(1, k, r, text) for k, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
