@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bound, table, unused
-from corpusloom.storage import discard, stored
+from corpusloom.operators.filters import maybe_among
+from corpusloom.storage import discard, released, stored
 
 EDITS = 2
 #: A pair of lines may differ by one edit for each so many characters of the shorter one, and by `edits` at most.
 CHARS_PER_EDIT = 12
 #: Different lines of one segment beyond which they are indexed by rarer parts.
 GROUP = 16
-#: Shared segments up to which they are sent to all tasks (16 bytes each); beyond, both sides are shuffled.
+#: Shared segments up to which they are sent to all tasks (16 bytes each); beyond, a filter of fixed size is, and what passes is shuffled.
 SMALL_KEYS = 500_000
 _SPACE = " \t\n\x0b\x0c\r"
 _LOW = 15
@@ -166,10 +167,18 @@ def _candidates(lines: DataFrame, edits: int) -> DataFrame:
     number = F.xxhash64("line").bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.col("code").cast("long"))
     spread = every.select("key", number.alias("v")).groupBy("key").agg(F.min("v").alias("least"), F.max("v").alias("most"))
     shared = stored(spread.where(F.shiftright("least", 4) != F.shiftright("most", 4)).select("key"), "keys")
-    few = shared.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
-    held = every.join(F.broadcast(shared) if few else shared, "key")
-    held = held.withColumn("h", _text_id(F.col("line")))
-    out = stored(held.groupBy("key", "h").agg(F.min("code").alias("code"), F.first("line").alias("line")), "entries")
+    released(lines.sparkSession)
+    if shared.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
+        held = every.join(F.broadcast(shared), "key").withColumn("h", _text_id(F.col("line")))
+        out = stored(held.groupBy("key", "h").agg(F.min("code").alias("code"), F.first("line").alias("line")), "entries")
+    else:
+        # a line has some dozen entries: what is shuffled for each of them is its hash, and each text that is needed once
+        held = maybe_among(every, "key", shared).select("key", _text_id(F.col("line")).alias("h"), "code").join(shared, "key")
+        held = stored(held.groupBy("key", "h").agg(F.min("code").alias("code")).withColumn("short", F.xxhash64("h")), "held")
+        released(lines.sparkSession)
+        texts = maybe_among(lines.select("h", "line", F.xxhash64("h").alias("short")), "short", held.select("short"))
+        out = stored(held.drop("short").join(texts.groupBy("h").agg(F.first("line").alias("line")), "h").select("key", "h", "code", "line"), "entries")
+        discard(held)
     discard(shared)
     return out
 

@@ -43,8 +43,12 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         delete(df.sparkSession, df._stored_path)
     if tables:
-        # shuffle files go when Spark's cleaner finds that no plan refers to them, which otherwise may take half an hour
-        tables[0].sparkSession._jvm.System.gc()
+        released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done: Spark's cleaner deletes them when it finds that no plan refers to them, which otherwise may take half an hour."""
+    spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, *paths: str) -> None:

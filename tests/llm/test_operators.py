@@ -321,6 +321,26 @@ def test_lines_with_a_long_common_part(docs_of, monkeypatch):
     assert max(made.values()) < 30 * len(rows)
 
 
+def test_line_dedup_moves_no_text_for_each_key(docs_of, monkeypatch):
+    """With more shared segments than are broadcast, a text is shuffled once at most, not once for each of its substrings."""
+    draw = random.Random(3)
+    lines = ["".join(draw.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=3000)) for _ in range(400)]
+    rows = [(i, x, "en", "a") for i, x in enumerate([*lines, lines[7][:-1] + "#", lines[8] + "#"])]
+    df = docs_of(rows)
+    monkeypatch.setattr(line_dedup, "SMALL_KEYS", 0)
+    executors = df.sparkSession.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(executors.executorList(False).apply(k).totalShuffleWrite() for k in range(executors.executorList(False).size()))
+    before = written()
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of some size
+    try:
+        got = table_of(line_dedup.line_report(df), "doc_id", "n_lines", "n_removed", "removed")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [r[0] for r in got if r[2]] == [400, 401]
+    assert written() - before < 3 * sum(map(len, lines))
+
+
 def test_line_dedup_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "one line of some words\nanother", 7, 8, "x"), (2, "one line of some words\nthird", 9, 1, "y")], "doc_id long, text string, removed int, row int, h string").withColumn("Row_", F.lit(0)).withColumn("a.b", F.lit(1))
     out = line_dedup.without_repeats(df)
