@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import hashing
 from corpusloom.functions.text import estimated_tokens, length_bucket  # noqa: F401
+from corpusloom.operators.filters import maybe_among
 from corpusloom.operators.graph import connected
-from corpusloom.storage import stored
+from corpusloom.storage import discard, released, stored
 
 # Fixed values of the fingerprints.
 SHINGLE_CHARS = 24
@@ -22,6 +23,8 @@ SAMPLE_BITS = 4
 BANDS, BAND_BITS = 8, 8
 LENGTH_RATIO = 0.90
 JACCARD = 0.90
+#: Documents of one shingle beyond which they must also meet in a band, and shingles before a common one that are looked at for an earlier one.
+CROWD, LEAD = 64, 8
 #: Fixed masks of the probes: half of the 64 bits each.
 PROBE_MASKS = ("3ea3a67ae90b184b", "af8393415d4c27d3", "995aa968afc6a49a", "e2c767a29ddac904", "da4f25c4e33c1e0b", "f18e22a8ba71a9e6", "3e6110d87b5983e7", "b8656164d64fd558")
 HAMMING = 3
@@ -93,7 +96,7 @@ def fingerprints(df: DataFrame, id_col: str = "document_id", text_col: str = "te
 def band_pairs(prints: DataFrame, length_ratio: float = LENGTH_RATIO) -> DataFrame:
     """(a, b): documents that share a band of their simhashes and are near in length; the lengths are tested before any set is moved.
 
-    Bands of eight bits are coarse, so a band's bucket grows with the corpus: for large inputs use probe_pairs().
+    Bands of eight bits are coarse, so a band's bucket grows with the corpus: near_pairs() finds its pairs by shingles.
     """
     bands = F.array(*(F.shiftrightunsigned("simhash", BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) for k in range(BANDS)))
     rows = prints.select("document_id", "chars", F.posexplode(bands).alias("band", "value"))
@@ -109,12 +112,48 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
 
 
+def _band(k: int) -> Column:
+    return F.shiftrightunsigned("simhash", BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
+
+
 def near_pairs(prints: DataFrame, threshold: float = JACCARD, length_ratio: float = LENGTH_RATIO) -> DataFrame:
-    """(a, b, similarity): candidate pairs whose shingle sets are as similar as asked."""
-    pairs = band_pairs(prints, length_ratio)
-    a, b = (prints.select(F.col("document_id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    rows = pairs.join(a, "a").join(b, "b").withColumn("similarity", jaccard(F.col("s_a"), F.col("s_b")))
-    return rows.where(F.col("similarity") >= threshold).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """(a, b, similarity): the pairs of band_pairs() whose shingle sets are as similar as asked, which is more than not at all.
+
+    Sets as similar as that share one of the first n - threshold * n + 1 of their n shingles (in the order of the
+    shingles), so documents meet by these and are then tested for bands and lengths; those of a shingle that many have
+    meet by it and a band. A pair is left out where an earlier shingle is seen to bring it. Sets are moved only for
+    documents that are in a pair. Documents are told apart by 64-bit hashes until their sets are compared.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    spark = prints.sparkSession
+    released(spark)
+    node = F.xxhash64("document_id").alias("node")
+    sets = F.when(F.size("shingles") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("shingles"))
+    rows = prints.select(node, "chars", "simhash", sets.alias("own")).withColumn("n", F.size("own"))
+    first = F.slice("own", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    each = rows.select("node", "chars", "simhash", "n", F.slice("own", 1, LEAD).alias("lead"), F.posexplode(first).alias("at", "key"))
+    shared = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "keys")
+    released(spark)
+    bands = F.array(*(F.xxhash64("key", F.lit(k), _band(k)) for k in range(BANDS)))
+    held = maybe_among(each, "key", shared).withColumn("earlier", F.slice("lead", F.lit(1), F.least("at", F.lit(LEAD)))).drop("lead", "at").join(shared, "key")
+    held = stored(held.select("node", "chars", "simhash", "n", "earlier", F.explode(F.when(F.col("df") <= CROWD, F.array("key")).otherwise(bands)).alias("key")), "entries")
+    discard(shared)
+    a, b = (held.select("key", *(F.col(c).alias(f"{c}_{x}") for c in held.columns if c != "key")) for x in "ab")
+    alike = lambda c, ratio: F.least(f"{c}_a", f"{c}_b") >= ratio * F.greatest(f"{c}_a", f"{c}_b") - 1e-9
+    long_enough = F.least("chars_a", "chars_b") >= length_ratio * F.greatest("chars_a", "chars_b")
+    differ = F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))
+    one_band = F.lit(False)
+    for k in range(BANDS):
+        one_band |= F.shiftrightunsigned(differ, BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == 0
+    met = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & long_enough & alike("n", threshold) & one_band & ~F.arrays_overlap("earlier_a", "earlier_b"))
+    pairs = stored(met.select("node_a", "node_b").distinct(), "pairs")
+    discard(held)
+    nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b"))
+    full = stored(maybe_among(prints.select(node, "document_id", "shingles"), "node", nodes), "sets")
+    a, b = (full.select(F.col("node").alias(f"node_{x}"), F.col("document_id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    out = pairs.join(a, "node_a").join(b, "node_b").withColumn("similarity", jaccard(F.col("s_a"), F.col("s_b"))).where(F.col("similarity") >= threshold)
+    return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
 def clusters_of(pairs: DataFrame, kind: str = "near") -> DataFrame:

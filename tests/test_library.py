@@ -88,6 +88,34 @@ def test_near_cluster(spark):
     assert D.clusters_of(D.near_pairs(D.fingerprints(df))).head()["members"] == ["doc-0", "doc-1"]
 
 
+@pytest.mark.parametrize(("threshold", "crowd"), [(0.9, 64), (0.5, 64), (0.5, 2)])
+def test_near_pairs_are_those_of_bands(spark, monkeypatch, threshold, crowd):
+    monkeypatch.setattr(D, "CROWD", crowd)
+    draw = random.Random(5)
+    sentence = lambda: "".join(draw.choices("abcdefghij", k=40))
+    common, texts = [sentence() for _ in range(6)], []
+    for _ in range(12):
+        own = [sentence() for _ in range(30)]
+        texts += [" ".join([*common, *own[:k], sentence(), *own[k + 1 :]]) for k in range(0, 30, 4)] + [" ".join(own[: 20 + k] + common) for k in range(0, 10, 3)]
+    prints = D.fingerprints(docs(spark, [*texts, "", "short"])).cache()
+    sets = {r["document_id"]: set(r["shingles"]) for r in prints.collect()}
+    pairs = [(r["a"], r["b"]) for r in D.band_pairs(prints).collect()]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    got = [((r["a"], r["b"]), r["similarity"]) for r in D.near_pairs(prints, threshold).collect()]
+    assert sorted(got) == sorted((k, round(v, 6)) for k, v in want.items() if v >= threshold)
+    assert len(got) > 10
+
+
+def test_near_pairs_of_unlike_texts_are_not_listed(spark):
+    prints = D.fingerprints(docs(spark, [f"text {i:05}" for i in range(3000)])).cache()
+    assert prints.count() == 3000
+    executors = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(executors.executorList(False).apply(k).totalShuffleWrite() for k in range(executors.executorList(False).size()))
+    before = written()
+    assert D.near_pairs(prints).count() == 0
+    assert written() - before < 100 * 3000
+
+
 def test_rolling_hash_and_fallback():
     text = "".join(chr(97 + (i * i) % 26) for i in range(200))
     want = set()
