@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ SAMPLE_BITS = 4
 BANDS, BAND_BITS = 8, 8
 LENGTH_RATIO = 0.90
 JACCARD = 0.90
-#: Documents of one shingle beyond which they must also meet in a band, and shingles before a common one that are looked at for an earlier one.
-CROWD, LEAD = 64, 8
+#: Documents of one shingle beyond which they must also be near in length to meet, and beyond which they must share a band instead.
+CROWD, MASS = 64, 4096
+#: Shingles before a common one that are looked at for an earlier one.
+LEAD = 4
 #: Fixed masks of the probes: half of the 64 bits each.
 PROBE_MASKS = ("3ea3a67ae90b184b", "af8393415d4c27d3", "995aa968afc6a49a", "e2c767a29ddac904", "da4f25c4e33c1e0b", "f18e22a8ba71a9e6", "3e6110d87b5983e7", "b8656164d64fd558")
 HAMMING = 3
@@ -116,13 +119,30 @@ def _band(k: int) -> Column:
     return F.shiftrightunsigned("simhash", BAND_BITS * k).bitwiseAND(F.lit((1 << BAND_BITS) - 1))
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bitmap(sets: pd.Series) -> pd.Series:
+    """1,024 bits of a set, one or less for each value."""
+
+    def one(values: np.ndarray) -> np.ndarray:
+        bits = np.zeros(1024, bool)
+        bits[np.asarray(values, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)] = True
+        return np.packbits(bits).view(np.int64)
+
+    return sets.map(one)
+
+
+def _ones(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda total, x: total + F.bit_count(x))
+
+
 def near_pairs(prints: DataFrame, threshold: float = JACCARD, length_ratio: float = LENGTH_RATIO) -> DataFrame:
     """(a, b, similarity): the pairs of band_pairs() whose shingle sets are as similar as asked, which is more than not at all.
 
     Sets as similar as that share one of the first n - threshold * n + 1 of their n shingles (in the order of the
     shingles), so documents meet by these and are then tested for bands and lengths; those of a shingle that many have
-    meet by it and a band. A pair is left out where an earlier shingle is seen to bring it. Sets are moved only for
-    documents that are in a pair. Documents are told apart by 64-bit hashes until their sets are compared.
+    meet by it and a class of length or, if very many have it, a band. A pair is left out where an earlier shingle is
+    seen to bring it. Bitmaps bound what two sets can share; sets are moved only for the pairs that this leaves.
+    Documents are told apart by 64-bit hashes until their sets are compared.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
@@ -137,7 +157,12 @@ def near_pairs(prints: DataFrame, threshold: float = JACCARD, length_ratio: floa
     released(spark)
     bands = F.array(*(F.xxhash64("key", F.lit(k), _band(k)) for k in range(BANDS)))
     held = maybe_among(each, "key", shared).withColumn("earlier", F.slice("lead", F.lit(1), F.least("at", F.lit(LEAD)))).drop("lead", "at").join(shared, "key")
-    held = stored(held.select("node", "chars", "simhash", "n", "earlier", F.explode(F.when(F.col("df") <= CROWD, F.array("key")).otherwise(bands)).alias("key")), "entries")
+    # classes a little wider than the ratio of two lengths that are near, each document in its own and the next
+    length = F.floor(F.log(F.greatest("chars", F.lit(1))) / (1.001 * max(1e-3, -math.log(max(length_ratio, 1e-9)))))
+    classes = F.array(*(F.xxhash64("key", length + k) for k in range(2)))
+    keys = F.when(F.col("df") <= CROWD, F.array("key")).when(F.col("df") <= MASS, classes).otherwise(bands)
+    held = stored(held.select("node", "chars", "simhash", "n", "earlier", F.explode(keys).alias("key")), "entries")
+    released(spark)
     discard(shared)
     a, b = (held.select("key", *(F.col(c).alias(f"{c}_{x}") for c in held.columns if c != "key")) for x in "ab")
     alike = lambda c, ratio: F.least(f"{c}_a", f"{c}_b") >= ratio * F.greatest(f"{c}_a", f"{c}_b") - 1e-9
@@ -150,7 +175,14 @@ def near_pairs(prints: DataFrame, threshold: float = JACCARD, length_ratio: floa
     pairs = stored(met.select("node_a", "node_b").distinct(), "pairs")
     discard(held)
     nodes = pairs.select(F.col("node_a").alias("node")).union(pairs.select("node_b"))
-    full = stored(maybe_among(prints.select(node, "document_id", "shingles"), "node", nodes), "sets")
+    full = stored(maybe_among(prints.select(node, "document_id", "shingles"), "node", nodes).withColumn("bits", _bitmap("shingles")), "sets")
+    # values that two sets share have the same bit in both, and those without a bit of their own are counted
+    brief = full.select("node", F.size("shingles").alias("n"), "bits", (F.size("shingles") - _ones(F.col("bits"))).alias("over"))
+    a, b = (brief.select(*(F.col(c).alias(f"{c}_{x}") for c in brief.columns)) for x in "ab")
+    most = _ones(F.zip_with("bits_a", "bits_b", lambda x, y: x.bitwiseAND(y))) + F.least("over_a", "over_b")
+    enough = most >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = stored(pairs.join(a, "node_a").join(b, "node_b").where(enough).select("node_a", "node_b"), "pairs")
+    released(spark)
     a, b = (full.select(F.col("node").alias(f"node_{x}"), F.col("document_id").alias(f"id_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     out = pairs.join(a, "node_a").join(b, "node_b").withColumn("similarity", jaccard(F.col("s_a"), F.col("s_b"))).where(F.col("similarity") >= threshold)
     return out.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.round("similarity", 6).alias("similarity"))

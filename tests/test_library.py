@@ -88,9 +88,10 @@ def test_near_cluster(spark):
     assert D.clusters_of(D.near_pairs(D.fingerprints(df))).head()["members"] == ["doc-0", "doc-1"]
 
 
-@pytest.mark.parametrize(("threshold", "crowd"), [(0.9, 64), (0.5, 64), (0.5, 2)])
-def test_near_pairs_are_those_of_bands(spark, monkeypatch, threshold, crowd):
+@pytest.mark.parametrize(("threshold", "crowd", "mass"), [(0.9, 64, 4096), (0.5, 64, 4096), (0.5, 2, 4096), (0.5, 2, 5)])
+def test_near_pairs_are_those_of_bands(spark, monkeypatch, threshold, crowd, mass):
     monkeypatch.setattr(D, "CROWD", crowd)
+    monkeypatch.setattr(D, "MASS", mass)
     draw = random.Random(5)
     sentence = lambda: "".join(draw.choices("abcdefghij", k=40))
     common, texts = [sentence() for _ in range(6)], []
