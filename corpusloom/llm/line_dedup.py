@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import bound, table, unused
-from corpusloom.operators.filters import maybe_among
+from corpusloom.operators.filters import maybe_among, parted
 from corpusloom.storage import discard, released, stored
 
 EDITS = 2
@@ -282,10 +282,13 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     row, removed = unused(df, "row"), unused(df, "removed")
     gone = stored(removals(_own(df, id_col, text_col), edits).toDF(row, removed), "removed")
-    joined = df.withColumn(row, _row(id_col, text_col)).join(gone, row, "left")
+    # texts of which nothing goes are not shuffled
+    some, rest = parted(df.withColumn(row, _row(id_col, text_col)), F.xxhash64(F.col(row)), gone.select(F.xxhash64(row)))
+    joined = some.join(gone, row, "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(removed), i))
     out = joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    return out.where(F.col(removed).isNull() | ~_blank(F.col(text_col))).select(*(F.col(f"`{c}`") for c in df.columns))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return out.where(F.col(removed).isNull() | ~_blank(F.col(text_col))).select(*own).unionByName(rest.select(*own))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

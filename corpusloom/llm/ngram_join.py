@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table, unused
 from corpusloom.llm.wordhash import grams, hash_words, mix, steps
+from corpusloom.operators.filters import parted
 from corpusloom.operators.graph import connected
-from corpusloom.storage import discard, stored
+from corpusloom.storage import discard, released, stored
 
 #: Documents beyond which a column counts as common. Any order of the columns gives the same links; this one is cheap.
 COMMON = 24
@@ -230,13 +231,21 @@ def prefixes(df: DataFrame, common: np.ndarray, k: int, percent: int, id_col: st
 
 
 def members_of(prefix: DataFrame) -> DataFrame:
-    """(pivot, c1, n, last, ys): for each document the blocks it goes to, and the columns of its prefix that others hold."""
+    """(pivot, c1, n, last, ys), stored: for each document the blocks it goes to, and the columns of its prefix that others hold.
+
+    The columns are exchanged once to find those that are shared, and, once these shuffle files are gone, again with
+    their documents: both at a time would be most of the disk that the join takes.
+    """
     postings = prefix.select("c1", F.explode("ys").alias("y"))
     shared = postings.groupBy("y").agg(F.min("c1").alias("pivot"), F.max("c1").alias("most")).where("pivot <> most").select("y", "pivot")
+    shared = stored(shared, "shared")
+    released(prefix.sparkSession)
     # as many rows as the document's prefix has columns
     own = postings.join(shared, "y").groupBy("c1").agg(F.collect_set("y").alias("ys"), F.collect_set("pivot").alias("pivots"))
     sizes = prefix.select("c1", "n", "last").distinct()
-    return own.join(sizes, "c1").select(F.explode("pivots").alias("pivot"), "c1", "n", "last", "ys")
+    out = stored(own.join(sizes, "c1").select(F.explode("pivots").alias("pivot"), "c1", "n", "last", "ys"), "members")
+    discard(shared)
+    return out
 
 
 def wanted_texts(df: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -416,7 +425,7 @@ def ngram_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     columns = every.where("common IS NOT NULL").select(F.explode(F.arrays_zip("common", "docs")).alias("x"))
     common = bit_filter(columns.groupBy("x.common").agg(F.sum("x.docs").alias("held")).where(F.col("held") > COMMON).select("common"))
     prefix = stored(prefixes(df, common, k, percent, id_col, text_col), "prefix")
-    members = stored(members_of(prefix), "members")
+    members = members_of(prefix)
     discard(prefix)
     ids = sig.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     classes = stored(ids.groupBy("c1", "c2").agg(F.min("doc").alias("doc")).withColumn("node", _node()), "classes")
@@ -450,8 +459,10 @@ def one_of_each(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     """
     found = stored(ngram_components(df, k, percent, id_col, text_col), "components")
     own, place = unused(df, "own"), unused(df, "place")
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
-    out = df.join(stay, F.col(id_col).cast("long") == F.col(own), "left_semi")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias(own)).distinct()
+    # most rows stay, and those that a filter tells to are not shuffled
+    some, rest = parted(df.where(F.col(id_col).isNotNull()), F.xxhash64(F.col(id_col).cast("long")), gone.select(F.xxhash64(own)))
+    out = rest.unionByName(some.join(gone, F.col(id_col).cast("long") == F.col(own), "left_anti"))
     if not found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         # the least text of an id, so that each run keeps the same row
         order = Window.partitionBy(id_col).orderBy(text_col, *(c for c in df.columns if c not in (id_col, text_col)))

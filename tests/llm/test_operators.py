@@ -585,3 +585,49 @@ def test_one_of_each(docs, empty):
     assert out.columns == docs.columns
     assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in components_brute(corpus(), 4, 85) if c is not None}) and ids.count(None) == 1
     assert ngram_join.ngram_components(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
+
+
+@pytest.fixture
+def shuffled(spark):
+    """What it yields gives the bytes shuffled so far; no table counts as small."""
+    executors = spark.sparkContext._jsc.sc().statusStore()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield lambda: sum(executors.executorList(False).apply(k).totalShuffleWrite() for k in range(executors.executorList(False).size()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def unlike(spark, n=60, words=3000):
+    """Texts that share nothing, two of which have a copy, and a row without an id."""
+    rnd = random.Random(3)
+    texts = ["\n".join(" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(100)) for _ in range(words // 100)) for _ in range(n)]
+    rows = [*enumerate(texts), (n, texts[0]), (n + 1, texts[1]), (None, texts[2])]
+    return texts, spark.createDataFrame(rows, "doc_id long, text string").withColumn("_word", F.lit(1))
+
+
+def test_columns_are_exchanged_one_step_at_a_time(spark, shuffled, monkeypatch):
+    texts, df = unlike(spark)
+    keep, steps = ngram_join.stored, []
+
+    def counted(table, name):
+        before = shuffled()
+        out = keep(table, name)
+        steps.append(shuffled() - before)
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    ngram_join.ngram_components(df, 5, 80)
+    columns = sum(ngram_join.prefix_length(len(t.split()) - 4, 80) for t in texts)
+    assert max(steps) < 18 * columns  # 24 where both exchanges run in one step
+
+
+def test_texts_that_stay_whole_are_not_shuffled(spark, shuffled, tmp_path):
+    texts, df = unlike(spark)
+    for step, want in ((ngram_join.one_of_each, [None, *range(60)]), (line_dedup.without_repeats, [None, *(i for i in range(60) if i != 2)])):
+        out = step(df)
+        before = shuffled()
+        out.write.parquet(path := f"{tmp_path}/{step.__name__}")
+        assert shuffled() - before < 0.2 * sum(map(len, texts))
+        got = spark.read.parquet(path)
+        assert got.columns == df.columns
+        assert sorted((r["doc_id"] for r in got.collect()), key=lambda x: -1 if x is None else x) == want
+        assert sorted(r["text"] for r in got.collect()) == sorted(texts + [texts[2]] * (step is ngram_join.one_of_each))
