@@ -39,16 +39,20 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(own)).where("_place = 1").drop("_place")
 
 
-def exact_clusters(df: DataFrame, id_col: str = "document_id", text_col: str = "text", index_col: str = "input_index") -> DataFrame:
-    """(text_sha256, representative, members, n): texts that two documents or more share; members by index, the earliest one represents."""
-    rows = df.select(F.col(id_col).alias("id"), hashing.content_sha(F.col(text_col)).alias("text_sha256"), F.col(index_col).alias("i"))
+def _sha(text_col: str, sha_col: str | None) -> Column:
+    return (hashing.content_sha(F.col(text_col)) if sha_col is None else F.col(sha_col)).alias("text_sha256")
+
+
+def exact_clusters(df: DataFrame, id_col: str = "document_id", text_col: str = "text", index_col: str = "input_index", sha_col: str | None = None) -> DataFrame:
+    """(text_sha256, representative, members, n): texts that two documents or more share; members by index, the earliest one represents. sha_col: where df has the texts' hashes in place of the texts."""
+    rows = df.select(F.col(id_col).alias("id"), _sha(text_col, sha_col), F.col(index_col).alias("i"))
     groups = rows.groupBy("text_sha256").agg(F.min_by("id", "i").alias("representative"), F.array_sort(F.collect_list(F.struct("i", "id"))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return groups.select("text_sha256", "representative", F.transform("m", lambda x: x["id"]).alias("members"), "n")
 
 
-def exact_representatives(df: DataFrame, rule: str = "earliest", id_col: str = "document_id", text_col: str = "text", index_col: str = "input_index") -> DataFrame:
-    """(text_sha256, document_id): one document a text, the earliest by index or the one of the least id. A map-side minimum, no self-join."""
-    sha = hashing.content_sha(F.col(text_col)).alias("text_sha256")
+def exact_representatives(df: DataFrame, rule: str = "earliest", id_col: str = "document_id", text_col: str = "text", index_col: str = "input_index", sha_col: str | None = None) -> DataFrame:
+    """(text_sha256, document_id): one document a text, the earliest by index or the one of the least id. A map-side minimum, no self-join. sha_col: see exact_clusters()."""
+    sha = _sha(text_col, sha_col)
     pick = F.min(F.struct(index_col, id_col))[id_col] if rule == "earliest" else F.min(id_col)
     return df.groupBy(sha).agg(pick.alias("document_id"))
 

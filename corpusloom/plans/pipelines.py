@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import hashing
 from corpusloom.functions import text as X
 from corpusloom.operators import dedup, splitting
-from corpusloom.storage import stored
+from corpusloom.operators.filters import parted
+from corpusloom.storage import discard, stored
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -19,12 +21,19 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def small_pipeline(docs: DataFrame) -> DataFrame:
     """(document_id, group_key, split): clean, find exact and near duplicates, split so that duplicates stay together."""
-    clean = stored(cleaned(docs), "clean")
-    exact = dedup.exact_clusters(clean).select(F.explode("members").alias("b"), F.col("representative").alias("a")).where("a <> b")
-    representatives = clean.join(dedup.exact_representatives(clean).select("document_id"), "document_id", "left_semi")
-    near = dedup.near_pairs(stored(dedup.fingerprints(representatives), "prints"))
+    clean = cleaned(docs)
+    # the clean texts are read once and neither written nor joined: all that follows works on their hashes and fingerprints
+    every = stored(dedup.fingerprints(clean.withColumn("text_sha256", hashing.content_sha(F.col("text"))), keep=("input_index", "text_sha256")), "every")
+    brief = stored(every.select("document_id", "input_index", "text_sha256"), "brief")
+    exact = dedup.exact_clusters(brief, sha_col="text_sha256").select(F.explode("members").alias("b"), F.col("representative").alias("a")).where("a <> b")
+    representatives = dedup.exact_representatives(brief, sha_col="text_sha256").select("document_id")
+    copies = stored(brief.join(representatives, "document_id", "left_anti").select("document_id").distinct(), "copies")
+    some, rest = parted(every.drop("text_sha256").where("document_id IS NOT NULL"), F.xxhash64("document_id"), copies.select(F.xxhash64("document_id")))
+    prints = stored(rest.unionByName(some.join(copies, "document_id", "left_anti")), "prints")
+    discard(every, copies)
+    near = dedup.near_pairs(prints)
     links = exact.select("a", "b").unionByName(near.select("a", "b"))
-    return splitting.assign(clean, dedup.near_components(links))
+    return splitting.assign(brief, dedup.near_components(links))
 
 
 def large_pipeline(docs: DataFrame, share: float = 0.01, seed: str = "validation-v1") -> DataFrame:

@@ -327,3 +327,20 @@ def test_discarded_tables_are_gone(spark, tmp_path):
     discard(held)
     with pytest.raises(Exception):  # noqa: B017
         spark.read.schema("x long").parquet(paths[0]).count()
+
+
+def test_small_pipeline_writes_no_texts(spark, monkeypatch):
+    from corpusloom import catalog
+    from corpusloom.operators import splitting
+    from corpusloom.plans import pipelines
+
+    docs_ = catalog.documents(spark, "/root/testdata/sf0.001")
+    clean = pipelines.cleaned(docs_).cache()
+    exact = D.exact_clusters(clean).select(F.explode("members").alias("b"), F.col("representative").alias("a")).where("a <> b")
+    prints = D.fingerprints(clean.join(D.exact_representatives(clean).select("document_id"), "document_id", "left_semi")).cache()
+    want = splitting.assign(clean, D.near_components(exact.select("a", "b").unionByName(D.near_pairs(prints).select("a", "b"))))
+    written, keep = [], pipelines.stored
+    monkeypatch.setattr(pipelines, "stored", lambda df, name: written.append(df.columns) or keep(df, name))
+    got = pipelines.small_pipeline(docs_)
+    assert exact.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert written and not any("text" in columns for columns in written)
